@@ -297,6 +297,7 @@ def find_in(index: ItemIndex, enc: Words, docs: list[tuple[int, str]], templates
         for k, d in index.candidates(ids, forms):
             todo.append((doc_id, index.ids[k], d, ids, forms))
     found: dict[tuple[int, int], tuple] = {}
+    spoken_of: dict[int, list[str]] = {}
     for i in range(0, len(todo), 256):
         part = todo[i : i + 256]
         exact = align([(index.words[it], ids, d) for _, it, d, ids, _ in part])
@@ -305,7 +306,9 @@ def find_in(index: ItemIndex, enc: Words, docs: list[tuple[int, str]], templates
             got = a or b
             if got is None:
                 continue
-            spoken = [t.strip("_").casefold() for t in _TOKEN.findall(clean(text_of[doc_id]))]
+            if doc_id not in spoken_of:
+                spoken_of = {doc_id: [t.strip("_").casefold() for t in _TOKEN.findall(clean(text_of[doc_id]))]}
+            spoken = spoken_of[doc_id]
             values, doc_values = (index.spoken[it], spoken) if len(spoken) == len(ids) else (index.words[it].tolist(), ids.tolist())
             changed, ok = slots(values, index.forms[it], doc_values, got[3] - got[2], got[2] - got[0] + 1, got[2])
             if a is None and not ok:
