@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import chunking, decisions, evaluation, files, filters, fusion, graph, incremental, retrieval
-from tessera.session import blank_to_null, strip, table
+from tessera.session import blank_to_null, table
 from tessera.streaming import events as stream
 
 QUERIES: dict = {}
@@ -620,9 +620,9 @@ def activity_trend(spark, d):  # noqa: ANN001, ANN201
     return decisions.trend(table(spark, d, "chunks"), "captured_at", NOW, "package")
 
 
-@query("SELECT package, round(CAST(count(*) FILTER (docstring IS NOT NULL AND trim(docstring, E' \\t\\n\\r') <> '') AS DOUBLE) / greatest(1, count(*)), 6) AS coverage, count(*) AS members FROM module_members GROUP BY package")
+@query("SELECT package, round(CAST(count(*) FILTER (coalesce(regexp_matches(docstring, '\\S'), false)) AS DOUBLE) / greatest(1, count(*)), 6) AS coverage, count(*) AS members FROM module_members GROUP BY package")
 def overview_doc_coverage(spark, d):  # noqa: ANN001, ANN201
-    has = F.when(strip("docstring") != "", 1.0).otherwise(0.0)
+    has = F.when(F.col("docstring").rlike(r"\S"), 1.0).otherwise(0.0)
     return table(spark, d, "module_members").groupBy("package").agg(F.round(F.avg(has), 6).alias("coverage"), F.count("*").alias("members"))
 
 
