@@ -117,34 +117,48 @@ def _only_known(text: str, known: set[str]) -> bool:
     return True
 
 
-def parse_signature(signature: str | None) -> tuple[set[str], str]:
-    """(words of the signature, its text without white space); by syntax tree, by words where it is cut."""
+def function_node(signature: str | None, doc: str | None) -> ast.AST | None:
+    """A function or class node with its documentation attached, from a signature with or without ``def``; None where it is cut."""
     if not signature:
-        return set(), ""
-    flat = re.sub(r"\s+", " ", signature).strip()
+        return None
+    flat = re.sub(r"\s+", " ", signature).strip().rstrip(":")
     code = flat if re.match(r"(async\s+)?def\s|class\s", flat) else "def " + flat
-    words: set[str] = set()
     try:
-        node = ast.parse(code.rstrip(":") + ":\n    pass").body[0]
-        for n in ast.walk(node):
-            for f in ("name", "id", "arg", "attr"):
+        node = ast.parse(code + ":\n    pass").body[0]
+    except (SyntaxError, ValueError, RecursionError, MemoryError, IndexError):
+        return None
+    if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        return None
+    if doc is not None:
+        node.body.insert(0, ast.Expr(ast.Constant(doc)))
+    return node
+
+
+def signature_words(signature: str | None, node: ast.AST | None) -> set[str]:
+    """Words of names, annotations and defaults: of the node, or of the text where there is none."""
+    if node is None:
+        return set(name_words(signature or ""))
+    words: set[str] = set()
+    for part in (getattr(node, "args", None), getattr(node, "returns", None), *getattr(node, "bases", ())):
+        for n in ast.walk(part) if part is not None else ():
+            for f in ("id", "arg", "attr"):
                 if isinstance(v := getattr(n, f, None), str):
                     words.update(name_words(v))
             if isinstance(n, ast.Constant) and n.value is not None:
                 words.update(name_words(str(n.value)))
-    except (SyntaxError, ValueError, RecursionError, MemoryError, IndexError):
-        words.update(name_words(flat))
-    return words, re.sub(r"\s+", "", flat)
+    words.update(name_words(node.name))
+    return words
 
 
 def telling_lines(doc: str | None, name: str | None, signature: str | None, params: list[str] | None = None) -> list[str]:
     """The lines of a docstring that say something beyond name and signature."""
     if not doc:
         return []
-    text = textwrap.dedent(unescape(doc)).strip()
+    node = function_node(signature, unescape(doc))
+    text = (ast.get_docstring(node, clean=True) if node is not None else textwrap.dedent(unescape(doc))).strip()
     if not text:
         return []
-    words, flat = parse_signature(signature)
+    words, flat = signature_words(signature, node), re.sub(r"\s+", "", signature or "")
     for p in params or ():
         words.update(name_words(p))
     own = {s for w in name_words(name or "") for s in _stems(w)}
