@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,10 +146,8 @@ def porter(word: str) -> str:
 
 def stem(c: Column | str) -> Column:
     """Stems of an array of words; Arrow batches, each distinct word of a batch stemmed once."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):  # noqa: ANN001, ANN202
         seen: dict[str, str] = {}
         return s.map(lambda ws: None if ws is None else [seen[w] if w in seen else seen.setdefault(w, porter(w)) for w in ws])
 

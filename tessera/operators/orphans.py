@@ -83,11 +83,13 @@ def _surrogate(proj: str, node: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(proj), F.lit("")), F.col(node))
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, buckets: int = 4096, hot: int = HOT) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, buckets: int = 1 << 16, hot: int = HOT) -> DataFrame:
     """References whose target is missing, deleted or late, with the state and the month.
 
     ``refs``: source_table, ref_id, proj (null where keys are node ids alone), node, at. ``parents``: the
     output of ``index_state``. Columns out: source_table, ref_id, state, period; rows are distinct. A null
+    ``buckets`` cuts the range of the hashed keys; more buckets are smaller windows, and buckets with many
+    references are salted. A null
     ``at`` is never late and has period ``unknown``; a null node is no reference. A target that is fixed
     (always there) is never an orphan, and neither is any reference to a target that is alive in time.
     """
