@@ -10,6 +10,7 @@ import ast
 import re
 import textwrap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,8 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _SECTION = re.compile(
     r"^\s*(args|arguments|parameters|params|returns?|raises|yields?|keyword args|keyword arguments|other parameters|attributes|parameter|argumente|rückgabe|rückgabewert|paramètres|arguments|retourne|parámetros|argumentos|devuelve|retorna)\s*:?\s*$", re.I
 )
+_HEAD = re.compile(r"(?:async\s+)?(?:def\s+)?(\w+)\s*\(")
+_CLOSED = re.compile(r"\)\s*(?:->.*)?[:.]?$")
 _RULE = re.compile(r"^\s*[-=~*^#_.]{2,}\s*$")
 _FIELD = re.compile(r"^\s*[:@\\]\s*(param|parameter|arg|argument|type|return|returns|rtype|raise|raises|throws|keyword|key|kwarg|var|ivar|yield|yields|ytype)\b([^:\n]*?)(?::|$|(?<=\w)\s+(?=\S+\s+\S))(.*)$", re.I)
 
@@ -87,9 +90,9 @@ def unescape(doc: str) -> str:
     return doc.replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _stems(word: str) -> set[str]:
-    """Forms under which an inflected word and its base meet."""
-    w = word.lower()
+@lru_cache(maxsize=50_000)
+def _stems(w: str) -> frozenset[str]:
+    """Forms under which an inflected word and its base meet; the word is in lower case."""
     out = {w}
     for end in ("ing", "ies", "ied", "es", "ed", "er", "or", "ion", "s", "d", "e", "n", "en", "ung", "t"):
         if w.endswith(end) and len(w) - len(end) >= 2:
@@ -99,7 +102,7 @@ def _stems(word: str) -> set[str]:
                 out.add(b[:-1])
             if end in ("ies", "ied"):
                 out.add(b + "y")
-    return out
+    return frozenset(out)
 
 
 def name_words(name: str) -> list[str]:
@@ -166,7 +169,6 @@ def telling_lines(doc: str | None, name: str | None, signature: str | None, para
     squeezed = re.sub(r"\s+", "", text)
     if flat and squeezed.strip("`.: ") in (flat, flat.removeprefix("def"), "def" + flat):
         return []
-    call = re.compile(rf"^(?:async\s+)?(?:def\s+)?{re.escape(name or '')}\s*\([^\n]*\)\s*(?:->.*)?[:.]?$") if name else None
     out = []
     lines = text.split("\n")
     at, section = 0, False
@@ -176,15 +178,13 @@ def telling_lines(doc: str | None, name: str | None, signature: str | None, para
         at += 1
         if not line:
             continue
-        if depth > 0 or (name and re.match(rf"(async\s+)?(def\s+)?{re.escape(name)}\s*\(", line)):
+        if depth > 0 or (name and (m := _HEAD.match(line)) and m[1] == name):
             # a signature, also over several lines
             depth += line.count("(") - line.count(")")
             if depth > 0:
                 continue
             depth = 0
-            if not (call and call.match(line)) and _only_known(line, known):
-                continue
-            if call and call.match(line) or re.search(r"\)\s*(->.*)?:?$", line):
+            if _CLOSED.search(line) or _only_known(line, known):
                 continue
         if _SECTION.match(line):
             section = True
