@@ -97,14 +97,14 @@ def prune_tree(spark, d):  # noqa: ANN001, ANN201
 
 
 @query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT node, 0 AS level FROM t WHERE parent IS NULL UNION SELECT t.node, w.level + 1 FROM w JOIN t ON t.parent = w.node WHERE w.level < 4), o AS (SELECT node, min(level) AS level FROM w GROUP BY 1)
-SELECT node, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (ORDER BY level, node) AS INTEGER) AS at FROM o QUALIFY at <= 300""")
+SELECT node, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (ORDER BY level, node) AS INTEGER) AS "at" FROM o QUALIFY row_number() OVER (ORDER BY level, node) <= 300""")
 def node_budget(spark, d):  # noqa: ANN001, ANN201
     return overview.node_budget(_tree(spark, d), 300, 4)
 
 
-@query("""WITH e AS (SELECT user_id AS by, props AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), g AS (SELECT DISTINCT user_id AS by, props AS file FROM events WHERE event_type = 'purchase'),
-n AS (SELECT by, count(*) AS n FROM g GROUP BY 1), r AS (SELECT e.by, count(DISTINCT CASE WHEN g.file IS NOT NULL THEN e.file END) AS hit, count(*) AS reads, count(*) FILTER (g.file IS NULL) AS waste, min(CASE WHEN g.file IS NOT NULL THEN seq END) AS first_hit FROM e LEFT JOIN g ON g.by = e.by AND g.file = e.file WHERE e.file IS NOT NULL GROUP BY 1)
-SELECT n.by, round(coalesce(hit, 0)::DOUBLE / n.n, 6) AS recall, round(coalesce(waste::DOUBLE / reads, 0), 6) AS wasted, CAST(first_hit AS INTEGER) AS first_hit FROM n LEFT JOIN r ON r.by = n.by""")
+@query("""WITH e AS (SELECT user_id AS "by", props AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), g AS (SELECT DISTINCT user_id AS "by", props AS file FROM events WHERE event_type = 'purchase'),
+n AS (SELECT "by", count(*) AS n FROM g GROUP BY 1), r AS (SELECT e."by", count(DISTINCT CASE WHEN g.file IS NOT NULL THEN e.file END) AS hit, count(*) AS reads, count(*) FILTER (g.file IS NULL) AS waste, min(CASE WHEN g.file IS NOT NULL THEN seq END) AS first_hit FROM e LEFT JOIN g ON g."by" = e."by" AND g.file = e.file WHERE e.file IS NOT NULL GROUP BY 1)
+SELECT n."by", round(coalesce(hit, 0)::DOUBLE / n.n, 6) AS recall, round(coalesce(waste::DOUBLE / reads, 0), 6) AS wasted, CAST(first_hit AS INTEGER) AS first_hit FROM n LEFT JOIN r ON r."by" = n."by" """)
 def trajectory_files(spark, d):  # noqa: ANN001, ANN201
     from pyspark.sql.window import Window as W
 
