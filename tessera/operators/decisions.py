@@ -116,3 +116,36 @@ def community_cards(nodes: DataFrame, top: int = 10) -> DataFrame:
     label = F.array_join(F.slice(a, F.lit(1), F.size(same)), ".")
     w = W.partitionBy().orderBy(F.desc("size"), "label", "community")
     return g.withColumn("label", label).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("community", "size", "head", "label")
+
+
+def greedy_groups(df: DataFrame, by: str, order: str, title: str = "title", least: float = 0.85) -> DataFrame:
+    """(by, order, group): rows in order join the first group whose first title is similar enough.
+
+    The fold depends on the order, so each ``by`` is one walk over its token sets; only distinct normalised
+    titles enter it, and rows of one set take its group afterwards.
+    """
+    import pandas as pd
+
+    rows = df.select(by, F.col(order).alias("__o"), F.sort_array(title_tokens(F.col(title))).alias("toks"))
+    sets = rows.groupBy(by, "toks").agg(F.min("__o").alias("first"))
+    t = dict(sets.dtypes)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first", kind="stable")
+        groups: list[tuple[frozenset, object]] = []
+        holding: dict[str, list[int]] = {}
+        out = []
+        for toks, first in zip(pdf["toks"], pdf["first"], strict=True):
+            s = frozenset(toks)
+            near = sorted({g for w in s for g in holding.get(w, ())})
+            hit = next((g for g in near if len(s & groups[g][0]) / len(s | groups[g][0]) >= least), None)
+            if hit is None:
+                hit = len(groups)
+                groups.append((s, first))
+                for w in s:
+                    holding.setdefault(w, []).append(hit)
+            out.append(groups[hit][1])
+        return pd.DataFrame({by: pdf[by], "toks": pdf["toks"], "group": out})
+
+    g = sets.groupBy(by).applyInPandas(fold, f"`{by}` {t[by]}, toks array<string>, `group` {t['first']}")
+    return rows.join(g, [by, "toks"]).select(by, F.col("__o").alias(order), "group")

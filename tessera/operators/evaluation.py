@@ -121,3 +121,34 @@ def sessions(events: DataFrame, by: str, at: str, gap: str) -> DataFrame:
     """(by, start, end, events): runs of events with no silence longer than the gap."""
     s = events.where(F.col(at).isNotNull() & F.col(by).isNotNull()).groupBy(by, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("events"))
     return s.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """(mean, low, high) of the difference b - a over shared instances; both sides of an instance are drawn together."""
+    j = a.select(key, F.col(value).cast("double").alias("__a")).join(b.select(key, F.col(value).cast("double").alias("__b")), key)
+    return bootstrap_mean(j.select(key, (F.col("__b") - F.col("__a")).alias("d")), "d", key, resamples, seed)
+
+
+def pairs_needed(share_discordant: float, share_better: float, power: float = 0.8, alpha: float = 0.05, most: int = 20_000) -> int | None:
+    """How many pairs an exact two-sided McNemar test needs: the least number with that power, None beyond ``most``."""
+    if not 0 < share_discordant <= 1 or not 0.5 < share_better <= 1:
+        raise ValueError("shares must be in (0, 1] and better above a half")
+
+    def reached(n: int) -> bool:
+        d = round(n * share_discordant)
+        if not d:
+            return False
+        got = sum(math.comb(d, k) * share_better**k * (1 - share_better) ** (d - k) for k in range(d // 2 + 1, d + 1) if mcnemar(k, d - k)[0] <= alpha)
+        return got >= power
+
+    n = 8
+    while n <= most and not reached(n):
+        n = max(n + 1, int(n * 1.05))
+    return n if n <= most else None
+
+
+def label_agreement(df: DataFrame, a: str, b: str, by: str, least: float = 0.9) -> DataFrame:
+    """(by, agreement, agrees): mean Jaccard overlap of two label sets of each row."""
+    u = F.size(F.array_union(a, b))
+    jac = F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(1.0)
+    return df.groupBy(by).agg(F.round(F.avg(jac), 6).alias("agreement")).withColumn("agrees", F.col("agreement") >= least)
