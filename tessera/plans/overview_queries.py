@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import filters, graph, overview, retrieval
+from tessera.operators import capture, decisions, filters, graph, overview, retrieval
 from tessera.plans.core_queries import _BM25, _E, _TG, _bm25, _edges, _hits, _nodes, _targets, _top
 from tessera.session import blank_to_null, table
 
@@ -160,3 +160,48 @@ def fuzzy_gold(spark, d):  # noqa: ANN001, ANN201
     r = retrieval.hydrate(_bm25(spark, d, 3), c, "id", ["text"])
     gold = table(spark, d, "packages").where("summary is not null").select(F.col("name").alias("qid"), F.col("summary").alias("text"))
     return overview.fuzzy_gold(r, gold, 60.0)
+
+
+@query("""WITH m AS (SELECT module, name, coalesce(signature, name) || E'\\n    ' || trim(split_part(trim(docstring, ' '), E'\\n', 1), ' ') AS line FROM module_members WHERE NOT starts_with(name, '_') AND docstring IS NOT NULL AND trim(docstring, ' ') <> ''),
+g AS (SELECT module, string_agg(line, E'\\n' ORDER BY name, line) AS body FROM m GROUP BY 1), t AS (SELECT module, max(text) AS text FROM tree_nodes WHERE kind = 'module' GROUP BY 1)
+SELECT g.module, substring(concat_ws(E'\\n\\n', nullif(trim(text, ' '), ''), body), 1, 8000) AS page FROM g LEFT JOIN t ON t.module = g.module""")
+def dependency_doc_pages(spark, d):  # noqa: ANN001, ANN201
+    return capture.doc_pages(table(spark, d, "module_members").select("module", "name", "signature", "docstring"), table(spark, d, "tree_nodes").where("kind = 'module'").select("module", "text"))
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT DISTINCT {_T.format('node_id')} AS node, {_T.format('parent_id')} AS parent, kind, text FROM tree_nodes WHERE node_id IS NOT NULL),
+up AS (SELECT node, min(parent) AS above, max(CASE WHEN kind = 'module' THEN node END) AS mod FROM n GROUP BY 1),
+w AS (SELECT node, parent AS at, CASE WHEN kind = 'module' THEN node END AS module, 0 AS i FROM n UNION SELECT w.node, CASE WHEN coalesce(module, mod) IS NULL THEN above END, coalesce(module, mod), i + 1 FROM w LEFT JOIN up ON up.node = w.at WHERE i < 4)
+SELECT l.node, coalesce(w.module, l.node) AS module, kind, text FROM n l JOIN (SELECT DISTINCT node, module FROM w WHERE i = 4) w ON w.node = l.node WHERE kind NOT IN ('package', 'subpackage') AND text IS NOT NULL AND trim(text, ' ') <> ''""")
+def flatten_tree(spark, d):  # noqa: ANN001, ANN201
+    n = table(spark, d, "tree_nodes").select(blank_to_null("node_id").alias("node"), blank_to_null("parent_id").alias("parent"), "kind", "text").where("node is not null").distinct()
+    return capture.flatten_tree(n, 4)
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS seq FROM events")
+def trace_sequence(spark, d):  # noqa: ANN001, ANN201
+    return capture.sequenced(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "seq")
+
+
+@query()
+def capture_references(spark, d):  # noqa: ANN001, ANN201
+    return capture.references(table(spark, d, "chunks").where("kind in ('function', 'method', 'class')"))
+
+
+@query()
+def resolve_rules(spark, d):  # noqa: ANN001, ANN201
+    c = table(spark, d, "chunks").where("kind in ('function', 'method', 'class')")
+    r = capture.references(c).join(c.select("id", "package"), "id")
+    return capture.resolve(r, _nodes(spark, d))
+
+
+@query()
+def merge_titles_greedy(spark, d):  # noqa: ANN001, ANN201
+    return decisions.greedy_groups(table(spark, d, "chunks").where("title is not null and package is not null"), "package", "id")
+
+
+@query(f"""WITH {_E}, r AS (SELECT package, count(*) AS refs, count(dst) AS resolved FROM e WHERE kind = 'calls' GROUP BY 1)
+SELECT package, refs, resolved, round(resolved::DOUBLE / refs, 6) AS rate FROM r""")
+def resolution_rate(spark, d):  # noqa: ANN001, ANN201
+    g = _edges(spark, d).where("kind = 'calls'").groupBy("package").agg(F.count("*").alias("refs"), F.count("dst").alias("resolved"))
+    return g.withColumn("rate", F.round(F.col("resolved") / F.col("refs"), 6))
