@@ -12,6 +12,10 @@ from tessera.functions.text import tokens
 from tessera.functions.vector import dot, maxsim
 
 
+#: Query terms of a batch that are sent to every task; a larger batch is joined by shuffles.
+MAX_QUERY_TERMS = 200_000
+
+
 def top_k(df: DataFrame, k: int, by: str, order: list[Column], rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark keeps only k rows of a group on each side of the shuffle."""
     w = W.partitionBy(by).orderBy(*order)
@@ -26,16 +30,19 @@ def bm25(corpus: DataFrame, queries: DataFrame, id_col: str, text: Column, query
     in the number of documents. Scores are rounded to 6 decimals; ties go to the smaller id.
     """
     q = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(query_text))).alias("term"))
-    docs = corpus.select(F.col(id_col).alias("id"), tokens(text).alias("toks"), (where if where is not None else F.lit(True)).alias("ok"))
-    docs = docs.withColumn("dl", F.size("toks"))
-    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    words = q.select("term").distinct()
-    post = docs.select("id", "dl", "ok", F.explode("toks").alias("term")).join(words, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("ok").alias("ok"))
+    near = F.broadcast if q.count() <= MAX_QUERY_TERMS else lambda df: df
+    ok = where if where is not None else F.lit(True)
+    length = F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"))
+    stats = corpus.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avgdl"))
+    docs = corpus.select(F.col(id_col).alias("id"), tokens(text).alias("toks"), ok.alias("ok"))
+    words = docs.select("id", F.size("toks").alias("dl"), "ok", F.explode("toks").alias("term")).join(near(q.select("term").distinct()), "term", "left_semi")
+    # one shuffle by document: counting, scoring and summing all stay in its partition
+    post = words.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("ok").alias("ok"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = post.where("ok").join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    hits = q.join(weighted, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    wanted = q.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = post.where("ok").join(near(wanted), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(hits, k, "qid", [F.desc("score"), F.asc("id")])
 
 
