@@ -40,12 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is that of ``spark.checkpoint.dir``; only where nothing is set (tests on one
     machine) a temporary folder is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, made the checkpoint folder of the session where that is not done yet."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
 def strip(c: Column | str) -> Column:
     """White space around a value removed, in the JVM."""
     return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(SPACE))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from tessera.session import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or a temporary one where that is not set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tessera-stream-")
+    """A fresh folder under the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
