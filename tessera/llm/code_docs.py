@@ -7,6 +7,7 @@ documentation attached to it. Documentation that says nothing beyond name and si
 from __future__ import annotations
 
 import ast
+import inspect
 import re
 import textwrap
 from collections.abc import Iterator
@@ -235,10 +236,99 @@ FUNCTION = "chunk_id long, module string, qualified_name string, name string, ki
 _TYPES = [("chunk_id", pa.int64()), ("module", pa.string()), ("qualified_name", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("code", pa.string()), ("docstring", pa.string()), ("signature", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())]
 
 
+_DEF = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)(?=\s*[(\[])|class[ \t]+\w+(?=\s*[(\[:])")
+_LEX = re.compile(r'"""(?:[^\\]|\\.)*?(?:"""|\Z)|\'\'\'(?:[^\\]|\\.)*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*|\\\n|[()\[\]{}:\n]', re.S)
+_QUOTED = re.compile(r"\s*[rRuU]?(\"{3}|'{3})(.*)\1\s*", re.S)
+
+
+def _logical_lines(src: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, first line, last line) of each logical line that is not blank or a comment; a header ends an open bracket."""
+    out = []
+    start = line = first = depth = 0
+
+    def put(end: int) -> None:
+        if (s := src[start:end].strip()) and not s.startswith("#"):
+            out.append((start, end, first, line))
+
+    for m in _LEX.finditer(src):
+        t = m[0]
+        if t in "([{":
+            depth += 1
+        elif t in ")]}":
+            depth = max(0, depth - 1)
+        elif t == "\n":
+            if depth and _DEF.match(src[m.end() : m.end() + 300].lstrip(" \t")):
+                depth = 0
+            if not depth:
+                put(m.start())
+                start, first = m.end(), line + 1
+            line += 1
+        else:
+            line += t.count("\n")
+    put(len(src))
+    return out
+
+
+def _doc_of(statement: str) -> str | None:
+    try:
+        return ast.get_docstring(ast.parse(statement.strip()), clean=True)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        m = _QUOTED.fullmatch(statement)  # an escape that Python does not read
+        return inspect.cleandoc(m[2]) if m else None
+
+
+def functions_by_pattern(src: str) -> list[tuple[str, str | None, str, int, int, bool]]:
+    """What ``visit_functions`` gives, for text that no parser reads: by headers, balanced brackets and indents.
+
+    A function needs a whole header and something below it. Nothing is cut; line ends are LF.
+    """
+    rows = _logical_lines(src)
+    lines = src.split("\n")
+    dents = [len((s := src[a:z].expandtabs(8))) - len(s.lstrip()) for a, z, _, _ in rows]
+    out = []
+    above: list[tuple[int, bool]] = []  # indent and is a class, of the headers around a line
+    for k, (a, z, first, last) in enumerate(rows):
+        while above and above[-1][0] >= dents[k]:
+            above.pop()
+        text = src[a:z]
+        own = text.lstrip()
+        if not (m := _DEF.match(own)):
+            continue
+        in_class = bool(above) and above[-1][1]
+        above.append((dents[k], m[1] is None))
+        if m[1] is None:
+            continue
+        depth, colon = 0, None
+        for t in _LEX.finditer(own, m.end()):
+            if t[0] in "([{":
+                depth += 1
+            elif t[0] in ")]}":
+                depth -= 1
+            elif t[0] == ":" and depth == 0:
+                colon = t.end()
+                break
+        if colon is None:
+            continue
+        end = k + 1
+        while end < len(rows) and dents[end] > dents[k]:
+            end += 1
+        beside = own[colon:].strip()
+        if not beside or beside.startswith("#"):
+            if end == k + 1:
+                continue
+            beside = src[slice(*rows[k + 1][:2])]
+        top = k
+        while top and dents[top - 1] == dents[k] and src[rows[top - 1][0] :].lstrip(" \t").startswith("@"):
+            top -= 1
+        first, last = rows[top][2], rows[end - 1][3]
+        out.append((m[1], _doc_of(beside), "\n".join(lines[first : last + 1]), first, last, in_class))
+    return out
+
+
 def visit_functions(text: str) -> list[tuple[str, str | None, str, int, int, bool]]:
     """(name, docstring, code, first line, last line, in a class) of each function of a source text, nested ones too.
 
-    Text that does not parse is read again without its indent; if it still does not, it gives nothing.
+    Text that does not parse is read again without its indent; if it still does not, by ``functions_by_pattern``.
     Lines count from 0. Ranges are those of the syntax tree, decorators included.
     """
     src = re.sub(r"\r\n?", "\n", text)
@@ -250,7 +340,7 @@ def visit_functions(text: str) -> list[tuple[str, str | None, str, int, int, boo
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             continue
     if tree is None:
-        return []
+        return functions_by_pattern(src)
     shift = 0 if attempt is not None and not attempt.startswith(("if 1:\n", "class _:\n")) else 1
     lines = src.split("\n")
     out = []
