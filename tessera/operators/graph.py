@@ -91,8 +91,12 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 1, decay: float = 0.
     return seen.groupBy("qid", "node").agg(F.round(F.max("score"), 9).alias("score"), F.min("hop").alias("hop"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, pagerank): power iteration over distinct edges, the mass of nodes without edges shared out."""
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, nodes: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
+    """(node, pagerank): power iteration over distinct edges, the mass of nodes without edges shared out.
+
+    With a ``tolerance`` it ends as soon as all scores together change by less than that in a round; where ``rounds``
+    do not suffice for it, all scores are 0.0. Without one, exactly ``rounds`` rounds are run.
+    """
     e = edges.where("dst is not null and src is not null").select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("deg"))
     all_ = (nodes.select("node") if nodes is not None else e.select(F.col("src").alias("node")).union(e.select("dst"))).distinct()
@@ -102,6 +106,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, nodes: Dat
     if not n:
         return base.select("node", F.lit(0.0).alias("pagerank"))
     rank = base.select("node", "sink", F.lit(1.0 / n).alias("r"))
+    if tolerance is not None:
+        return _converged(rank, e, n, alpha, rounds, tolerance)
     for _ in range(rounds):
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("r"))), F.lit(0.0)).alias("lost"))
         got = rank.select(F.col("node").alias("src"), "r").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("w")).alias("got"))
@@ -110,6 +116,20 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, nodes: Dat
     return rank.select("node", F.col("r").alias("pagerank"))
 
 
+def _converged(rank: DataFrame, e: DataFrame, n: int, alpha: float, rounds: int, tolerance: float) -> DataFrame:
+    """Rounds of PageRank from (node, sink, r) until the scores stay; the lost mass and the change are one small aggregate a round."""
+    lost = rank.agg(F.sum(F.when(F.col("sink"), F.col("r")))).first()[0] or 0.0
+    for _ in range(rounds):
+        got = rank.select(F.col("node").alias("src"), "r").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("w")).alias("got"))
+        new = F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))
+        both = cut(rank.join(got, "node", "left").select("node", "sink", new.alias("r"), F.abs(new - F.col("r")).alias("moved")))
+        lost, moved = both.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("r"))), F.lit(0.0)), F.sum("moved")).first()
+        rank = both.drop("moved")
+        if moved < tolerance:
+            return rank.select("node", F.col("r").alias("pagerank"))
+    return rank.select("node", F.lit(0.0).alias("pagerank"))
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by label propagation on the undirected graph, in rounds, ties to the smaller label.
 

@@ -318,6 +318,15 @@ def graph_pagerank(spark, d):  # noqa: ANN001, ANN201
     return graph.pagerank(_edges(spark, d), rounds=5).select("node", F.round("pagerank", 9).alias("pagerank"))
 
 
+def _converged(e):  # noqa: ANN001, ANN202
+    return graph.pagerank(e, rounds=200, tolerance=1e-10)
+
+
+@query()
+def graph_pagerank_converged(spark, d):  # noqa: ANN001, ANN201
+    return _converged(_edges(spark, d)).select("node", F.round("pagerank", 9).alias("pagerank"))
+
+
 @query()
 def graph_communities(spark, d):  # noqa: ANN001, ANN201
     return graph.communities(_edges(spark, d))

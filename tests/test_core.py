@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import chunking, evaluation, filters, fusion, graph, incremental, retrieval
-from tessera.plans import pipeline
+from tessera.plans import core_queries, pipeline
 from tessera.sources import files as src
 
 
@@ -66,6 +67,43 @@ def test_reverse_closure_takes_the_least_hop(spark):
     assert {(r.node, r.hop) for r in graph.closure(e, t, 3).collect()} == {("A", 1), ("B", 1)}
 
 
+def _pagerank(edges, rounds=2000):
+    """Brute force, far beyond convergence."""
+    links = {(a, b) for a, b in edges if a is not None and b is not None}
+    nodes = {x for link in links for x in link}
+    deg = Counter(a for a, _ in links)
+    r = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(rounds):
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * sum(r[x] for x in nodes if x not in deg)) / len(nodes))
+        for a, b in links:
+            new[b] += 0.85 * r[a] / deg[a]
+        if new == r:
+            break
+        r = new
+    return r
+
+
+# a long chain into a cycle, a hub, a sink, a repeated edge and an open one: far from done after 5 rounds
+LINKS = [(f"c{i}", f"c{i + 1}") for i in range(30)] + [("c30", "x"), ("x", "y"), ("y", "x"), ("a", "h"), ("b", "h"), ("b", "h"), ("h", "sink"), ("h", None)]
+
+
+def test_pagerank_converges(spark):
+    e = spark.createDataFrame(LINKS, "src string, dst string")
+    want = _pagerank(LINKS)
+    got = {r.node: r.pagerank for r in graph.pagerank(e, rounds=200, tolerance=1e-10).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    early = {r.node: r.pagerank for r in graph.pagerank(e, rounds=5).collect()}
+    assert max(abs(early[k] - want[k]) for k in want) > 1e-3
+    assert {r.pagerank for r in graph.pagerank(e, rounds=5, tolerance=1e-10).collect()} == {0.0}
+
+
+def test_pagerank_query_has_converged(spark):
+    d = "/root/testdata/sf0.001"
+    want = _pagerank([(r.src, r.dst) for r in core_queries._edges(spark, d).select("src", "dst").collect()])
+    got = {r.node: r.pagerank for r in core_queries.graph_pagerank_converged(spark, d).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-9
+
+
 def test_pack_context_skips_what_does_not_fit(spark):
     n = spark.createDataFrame([(0, "a", 3.0, 0, 10), (0, "b", 2.0, 1, 95), (0, "c", 1.0, 1, 80), (0, "d", 0.5, 1, 1)], "qid int, id string, score double, hop int, chars int")
     assert [(r.id, r.body) for r in fusion.pack_context(n, 100).orderBy("rank").collect()] == [("a", True), ("b", False), ("c", True), ("d", False)]
