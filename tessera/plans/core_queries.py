@@ -374,6 +374,14 @@ def impact_ranked(spark, d):  # noqa: ANN001, ANN201
     return graph.impact(e, _targets(spark, d), graph.fan_in(e).withColumn("pagerank", F.lit(0.0)))
 
 
+@query()
+def impact_by_pagerank(spark, d):  # noqa: ANN001, ANN201
+    e = _edges(spark, d)
+    # equal scores differ in the last bits by the order of their sums
+    p = _converged(e).select("node", F.round("pagerank", 14).alias("pagerank"))
+    return graph.impact(e, _targets(spark, d), p.join(graph.fan_in(e), "node", "left"))
+
+
 @query(f"""WITH {_E}, n AS (SELECT DISTINCT trim(node_id, E' \\t\\n\\r') AS node FROM tree_nodes) SELECT ref_id, coalesce(dst, n.node) AS dst FROM e LEFT JOIN n ON n.node = e.name""")
 def resolve_exact(spark, d):  # noqa: ANN001, ANN201
     return graph.resolve_exact(_edges(spark, d), _nodes(spark, d)).select("ref_id", "dst")

@@ -104,6 +104,19 @@ def test_pagerank_query_has_converged(spark):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-9
 
 
+def test_impact_ranks_by_pagerank_before_in_degree(spark, monkeypatch):
+    # a has the larger in-degree, b the larger score: its one reference comes from a hub
+    links = [("a", "T"), ("b", "T"), ("z", "T"), ("y", "T"), ("h", "b"), *((f"h{i}", "h") for i in range(9)), ("p", "a"), ("q", "a")]
+    e = spark.createDataFrame([(s, t, "calls") for s, t in links], "src string, dst string, kind string")
+    monkeypatch.setattr(core_queries, "_edges", lambda *_: e)
+    monkeypatch.setattr(core_queries, "_targets", lambda *_: spark.createDataFrame([("T",)], "target string"))
+    got = core_queries.impact_by_pagerank(spark, "").orderBy("rank").collect()
+    score, near = _pagerank(links), Counter(t for _, t in links)
+    hop = {"a": 1, "b": 1, "y": 1, "z": 1, "h": 2, "p": 2, "q": 2} | {f"h{i}": 3 for i in range(9)}
+    assert [r.node for r in got] == sorted(hop, key=lambda x: (hop[x], -round(score[x], 9), -near[x], x))
+    assert [r.node for r in got][:2] == ["b", "a"]
+
+
 def test_pack_context_skips_what_does_not_fit(spark):
     n = spark.createDataFrame([(0, "a", 3.0, 0, 10), (0, "b", 2.0, 1, 95), (0, "c", 1.0, 1, 80), (0, "d", 0.5, 1, 1)], "qid int, id string, score double, hop int, chars int")
     assert [(r.id, r.body) for r in fusion.pack_context(n, 100).orderBy("rank").collect()] == [("a", True), ("b", False), ("c", True), ("d", False)]
