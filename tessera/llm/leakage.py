@@ -193,8 +193,11 @@ class ItemIndex:
         # each hit counts for the two nearest centres, so every run of half a band is seen whole
         step = BAND // 2
         c = np.concatenate([diag // step, diag // step + 1]) + (1 << 28)
-        key = np.unique(((np.tile(owner, 2) << 29 | c) << 13) | np.minimum(np.tile(place, 2), 8191))
-        pair, n = np.unique(key >> 13, return_counts=True)
+        key, place = np.tile(owner, 2) << 29 | c, np.tile(place, 2)
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]
+        pair, n = np.unique(key[once], return_counts=True)
         return [(int(x >> 29), (int(x & ((1 << 29) - 1)) - (1 << 28)) * step) for x in pair[n >= MIN_HITS]]
 
 
