@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.operators.retrieval import top_k
+from tessera.session import cut
 
 
 def _union(branches: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -148,3 +149,34 @@ def parent_rollup(hits: DataFrame, tree: DataFrame, thresholds: dict[str, float]
         j = j.withColumn("roll", F.coalesce(F.col("parent").isNotNull() & (hit >= 2) & (hit >= F.col("need") * F.col("children")), F.lit(False)))
         now = j.groupBy("qid", F.when(F.col("roll"), F.col("parent")).otherwise(F.col("node")).alias("node")).agg(F.max("score").alias("score"), F.max(F.when(F.col("roll"), F.col("rolled") + 1).otherwise(F.col("rolled"))).alias("rolled"))
     return now
+
+
+def rollup_tree(hits: DataFrame, tree: DataFrame, thresholds: dict[str, float] = ROLLUP, default: float = 0.5) -> DataFrame:
+    """Hits (qid, node, score, rolled) over the whole tree, however deep, children before their parents.
+
+    As ``parent_rollup``, but parents take their turn from the deepest level to the root, and a claim is final: a
+    parent that stands for its children takes its own hit in, and neither counts as a hit further up. A node
+    with several parents belongs to the smallest; only nodes of the tree stand for their children; nodes in or below
+    a cycle have no level and stay as they are.
+    """
+    t = tree.where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"), F.min("kind").alias("kind"))
+    need = F.lit(default)
+    for kind, x in thresholds.items():
+        need = F.when(F.col("kind") == kind, x).otherwise(need)
+    t = cut(t.select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), need.alias("need")))
+    kids = t.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    front = t.join(t.select(F.col("node").alias("parent")), "parent", "left_anti").select("node")
+    levels = []
+    while not (front := cut(front)).isEmpty():
+        levels.append(front)
+        front = t.join(front.select(F.col("node").alias("parent")), "parent").select("node")
+    now = hits.groupBy("qid", "node").agg(F.max("score").alias("score")).withColumn("rolled", F.lit(0))
+    up = t.where("parent is not null").select("node", "parent")
+    for level in reversed(levels[:-1]):
+        parents = level.join(kids, "node").join(t.select("node", "need"), "node").select(F.col("node").alias("parent"), "children", "need")
+        own = now.where("rolled = 0").join(up, "node").join(parents, "parent")
+        full = own.groupBy("qid", "parent").agg(F.count("*").alias("hit"), F.max("children").alias("children"), F.max("need").alias("need")).where("hit >= 2 and hit >= need * children").select("qid", "parent")
+        claims = up.join(full, "parent").select("qid", "node", "parent").union(full.select("qid", F.col("parent").alias("node"), "parent"))
+        j = now.join(claims, ["qid", "node"], "left").withColumn("roll", F.col("parent").isNotNull() & (F.col("rolled") == 0))
+        now = cut(j.groupBy("qid", F.when(F.col("roll"), F.col("parent")).otherwise(F.col("node")).alias("node")).agg(F.max("score").alias("score"), F.max(F.when(F.col("roll"), 1).otherwise(F.col("rolled"))).alias("rolled")))
+    return now

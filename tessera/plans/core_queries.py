@@ -482,6 +482,13 @@ def parent_rollup(spark, d):  # noqa: ANN001, ANN201
     return fusion.parent_rollup(h, t, levels=1)
 
 
+@query()
+def parent_rollup_tree(spark, d):  # noqa: ANN001, ANN201
+    t = table(spark, d, "tree_nodes").select(blank_to_null("node_id").alias("node"), blank_to_null("parent_id").alias("parent"), F.lower(blank_to_null("kind")).alias("kind"))
+    h = table(spark, d, "chunks").where("relevance is not null and qualified_name is not null").select(F.lit(0).alias("qid"), F.col("qualified_name").alias("node"), F.col("relevance").alias("score"))
+    return fusion.rollup_tree(h, t)
+
+
 # extraction
 
 _BODY = "regexp_replace(text, E'\\r\\n?', E'\\n', 'g')"

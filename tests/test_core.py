@@ -128,6 +128,50 @@ def test_parent_rollup(spark):
     assert {(r.node, r.score) for r in fusion.parent_rollup(hits, tree).collect()} == {("m.C", 0.9), ("z", 0.1)}
 
 
+def _rollup(tree, hits):
+    """Post-order with final claims, as the reference does it; hits {node: score}."""
+    kids, kind = {}, {n: k for n, _, k in tree}
+    for n, p, _ in tree:
+        kids.setdefault(p, []).append(n)
+    now, out = dict(hits), {}
+
+    def visit(n):
+        for k in kids.get(n, []):
+            visit(k)
+        hit = [k for k in kids.get(n, []) if k in now]
+        if n in kind and len(hit) >= 2 and len(hit) >= fusion.ROLLUP.get(kind.get(n), 0.5) * len(kids[n]):
+            out[n] = (max(now.pop(k) for k in [*hit, *([n] if n in now else [])]), 1)
+
+    for top in {p for _, p, _ in tree if p not in kind} | {None}:
+        visit(top)
+    return {n: (s, 0) for n, s in now.items()} | out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rollup_tree_against_brute_force(spark, seed):
+    rng, tree = random.Random(seed), []
+    for m in range(12):
+        tree.append((f"m{m}", f"p{m % 3}", "module"))
+        for c in range(3):
+            tree.append((f"m{m}.C{c}", f"m{m}", "class"))
+            for f in range(3):
+                tree.append((f"m{m}.C{c}.f{f}", f"m{m}.C{c}", "method"))
+                tree += [(f"m{m}.C{c}.f{f}.g{g}", f"m{m}.C{c}.f{f}", "function") for g in range(2)]
+        tree += [(f"m{m}.f{f}", f"m{m}", "function") for f in range(2)]
+    hits = {n: round(rng.random(), 3) for n, _, _ in tree if rng.random() < 0.45} | {"z": 0.1}
+    t = spark.createDataFrame(tree, "node string, parent string, kind string")
+    h = spark.createDataFrame([(0, n, s) for n, s in hits.items()], "qid int, node string, score double")
+    got = {r.node: (r.score, r.rolled) for r in fusion.rollup_tree(h, t).collect()}
+    assert got == _rollup(tree, hits)
+    assert {got[n][1] for n, _, k in tree if n in got and k == "module"} >= {1}
+
+
+def test_rollup_tree_of_functions_and_cycles(spark):
+    t = spark.createDataFrame([("m.f", "m", "function"), ("m.g", "m", "function"), ("m", None, "module"), ("a", "b", "class"), ("b", "a", "class"), ("s", "s", "class")], "node string, parent string, kind string")
+    h = spark.createDataFrame([(0, "m.f", 0.4), (0, "m.g", 0.6), (0, "a", 0.2), (1, "m.f", 0.3)], "qid int, node string, score double")
+    assert {(r.qid, r.node, r.score, r.rolled) for r in fusion.rollup_tree(h, t).collect()} == {(0, "m", 0.6, 1), (0, "a", 0.2, 0), (1, "m.f", 0.3, 0)}
+
+
 @pytest.mark.parametrize("bad", [{"$or": 1}, {"a": {}}, {"a": {"eq": 1, "in": []}}, {"a": {"gt": 1}}, {"a": {"in": "x"}}])
 def test_filters_refuse(bad):
     with pytest.raises(ValueError):
