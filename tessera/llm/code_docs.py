@@ -1,13 +1,16 @@
 """Functions paired with their documentation, by abstract syntax trees.
 
 Source text is parsed, function nodes are visited, and each gives its exact source range and the
-documentation attached to it. Documentation that says nothing beyond name and signature is dropped.
+documentation attached to it. A member whose source is in no chunk is parsed from its own signature, with
+repairs where that was cut. What a node says of itself (name, parameters, annotations, defaults) is known;
+documentation is scored by the words it adds to that, and what adds next to nothing is dropped.
 """
 
 from __future__ import annotations
 
 import ast
 import inspect
+import keyword
 import re
 import textwrap
 from collections.abc import Iterator
@@ -20,37 +23,18 @@ from pyspark.sql.window import Window as W
 
 from tessera.session import strip
 
-# Phrases that announce missing, stubbed or inherited documentation, in en, de, fr, es.
-NOTICES = [
-    r"todo\b.*", r"fixme\b.*", r"xxx\b.*", r"hack\b.*", r"tbd\b.*", r"tba\b.*", r"wip\b.*", r"work in progress", r"n/?a", r"none", r"null", r"nothing",
-    r"(please )?(add|write|insert|fill in|put|provide)( a| the| some| your)? (documentation|docs?|docstrings?|description|comments?|summary|text)( here| later| for this| soon| please)*",
-    r"(documentation|docs?|docstring|description|summary)( goes| to go| comes| is)? here", r"(your )?(documentation|docs?|docstring|description|summary) (here|goes here)",
-    r"(no|missing|without|lacks?|needs?|empty|placeholder for( the)?|to do)( any| a)? (documentation|docs?|docstring|description|comment|summary)( yet| available| provided| given| found| here| needed| needs? writing)*",
-    r"(documentation|docs?|docstring|description|comment|summary)( is| are| still)* (missing|needed|pending|to be (added|written|done)|to come|to follow|coming soon|not (yet )?(available|written|provided)|unavailable|incomplete|wanted|required|tbd|todo)( yet)?",
-    r"(not (yet )?documented|undocumented|to be (documented|completed|written|done|defined|determined|added)|document (me|this)|docs?)( yet| later)?",
-    r"(not (yet )?implemented|unimplemented|not implemented( yet)?|stub( only| method| function| implementation)?|(this is )?(just )?a stub|placeholder( only| text| docstring)?|dummy( docstring| text)?|auto[- ]?generated( stub| docstring| method stub| documentation| by .*)*|generated( stub| code| automatically)*|pass|\.+|lorem ipsum.*)",
-    r"(see|refer to|as in|same as|cf|check)( the)?( documentation( of| in)?| docs( of| in)?| docstring( of| in)?)?( the)? ?(base|parent|super|superclass|abstract|overridden|original)( ?(class|method|implementation|function|definition))*( for (details|documentation|more|docs)| documentation| docs?| docstring)*",
-    r"(see|refer to)( the)? (documentation|docs|readme|above|below|source|code|implementation|superclass|interface|parent)( for (details|more|documentation))*",
-    r"(inherit(s|ed)?|inherits? (the )?doc(s|umentation|string)?|docs? inherited|docstring inherited|documentation inherited|inherited documentation|inherited docs?)( (from|of|by))?( the)?( (base|parent|super|superclass)( ?class)?)?( method| documentation)?",
-    r"\{?@inheritdoc\}?", r"@inherit", r"\(?non-javadoc\)?", r"overrid(e|es|den|ing)( of| the| from| in)*( (base|parent|super|superclass|inherited))?( ?(class|method|implementation|function))*", r"implements?( the)?( (base|parent|abstract|interface|super))?( ?(class|method|interface))*",
-    r"(beschreibung|dokumentation|doku|docstring|kommentar|text)( (fehlt|folgt|ist|noch|offen|ausstehend|hier|einfügen|ergänzen|ausständig|wird|nachgereicht|fehlend|nicht|vorhanden|später|spaeter|kommt|nachgetragen|in|arbeit))+",
-    r"(noch )?(zu|nicht|ohne|keine|fehlende|hier|bitte)( (noch|zu|die|eine|den|der))*( (dokumentieren|dokumentiert|beschreiben|ergänzen|beschreibung|dokumentation|doku|docstring|erledigen|tun|implementiert|vorhanden|einfügen|hinzufügen|schreiben|nachtragen|fehlt|verfügbar|angegeben))+",
-    r"(noch )?(undokumentiert|platzhalter|offen|folgt|unfertig|in arbeit|fehlt( noch)?|siehe (basisklasse|oberklasse|elternklasse|basismethode)|wie (in der )?(basisklasse|oberklasse)|geerbt( von .*)?|von (der )?(basisklasse|oberklasse) geerbt|zu erledigen)",
-    r"(à|a) (documenter|compléter|completer|faire|rédiger|rediger|remplir|écrire|ecrire|venir|définir|definir|décrire|decrire)( ici| plus tard)?",
-    r"(documentation|description|doc|docstring|texte)( (est|à|a|en|reste|pas|non|encore|absente?|manquante?|manque|venir|compléter|completer|faire|rédiger|rediger|cours|ici|écrire|ecrire|suivre|disponible|fournie|suit|vide))+",
-    r"(pas|aucune|sans|non|ajouter|il manque|manque|ecrire|écrire|voir|hérité(e)?|herite(e)?|rédiger|rediger|insérer)( (de|la|une|le|d'une|du|encore|cette|ici|documentation|documentée?|description|doc|docstring|fournie|disponible|classe|de base|base|parente|mère|mere|implémentée?|la documentation|commentaire))+",
-    r"non documentée?|en (cours|construction|chantier|attente)|à suivre|provisoire|ébauche",
-    r"(por|sin|falta|pendiente|agregar|añadir|anadir|completar|escribir|documentar|no|ver|véase|heredad[oa]|poner|insertar|hacer)( (la|una|el|de|del|por|aquí|aqui|más tarde|luego|descripción|descripcion|documentación|documentacion|documentar|documentado|documentada|completar|hacer|escribir|definir|describir|docstring|comentario|clase|base|padre|implementado|hay|disponible|existe|todavía|todavia|aún|aun|añadir|agregar|rellenar|redactar|doc|esto|está|esta))+",
-    r"(documentación|documentacion|descripción|descripcion|docstring|comentario)( (pendiente|por|falta|faltante|aquí|aqui|en|no|completar|hacer|escribir|proceso|disponible|ausente|vacía|vacia|falta|construcción|añadir|agregar|incompleta|sin|próximamente|proximamente|disponible))+",
-    r"pendiente|por hacer|en (proceso|progreso|obras|construcción)|sin documentar|indocumentad[oa]",
-]
-# Lines made of these words alone, at least one of the second set among them, are such notices too.
-_NOTICE_SMALL = set("the a an any this that see in of from for to by is not yet no here be on it its and or please siehe die der das zu noch voir la le de du el ver ya class method function module definition implementation details more original classe clase klasse".split())
-_NOTICE_KEY = set(
-    "todo fixme tbd wip docs doc documentation docstring description documented undocumented missing inherited inherits inherit inheritdoc parent base super superclass baseclass overridden overrides override stub placeholder"
-    " dokumentation doku beschreibung dokumentieren dokumentiert fehlt basisklasse oberklasse geerbt platzhalter documenter documenté documentée compléter hérité héritée manquante documentar documentado documentación descripción pendiente falta heredado heredada".split()
+# Words of placeholders and of notices that documentation is missing, stubbed or inherited, in en, de, fr, es.
+NOTICE = set(
+    "todo fixme xxx hack tbd tba wip na null nothing pass noqa ellipsis lorem ipsum placeholder dummy stub stubs stubbed stubmaker auto autogenerated generated automatically unimplemented implemented implements implement"
+    " doc docs document documents documented undocumented documentation docstring docstrings description descriptions comment comments summary text signature missing lacks needs needed pending unavailable available incomplete wanted required provided given found yet"
+    " add write insert fill put provide edit please here later soon come comes follow follows goes go written done defined determined completed progress work not no do without only more details see refer same as check above below source code readme interface"
+    " base parent super superclass baseclass abstract overridden overrides override overriding original inherit inherits inherited inheritdoc nonjavadoc javadoc non from by"
+    " beschreibung dokumentation doku dokumentieren dokumentiert undokumentiert kommentar text fehlt folgt offen ausstehend einfügen ergänzen nachgereicht fehlend fehlende vorhanden später kommt nachgetragen arbeit bitte erledigen tun implementiert hinzufügen schreiben nachtragen verfügbar angegeben platzhalter unfertig siehe basisklasse oberklasse elternklasse basismethode wie geerbt noch nicht ohne keine zu hier wird in"
+    " documenter documenté documentée compléter completer faire rédiger rediger remplir écrire ecrire venir définir décrire ici plus tard absente manquante manque cours suivre disponible fournie vide pas aucune sans non ajouter il voir hérité héritée herite insérer base mère implémentée commentaire construction chantier attente provisoire ébauche à a"
+    " documentar documentado documentada descripción descripcion documentación documentacion sin falta pendiente agregar añadir anadir completar escribir hacer poner insertar ver véase heredado heredada aquí aqui luego definir describir comentario clase padre implementado hay existe todavía aún rellenar redactar proceso progreso obras construcción ausente vacía incompleta próximamente indocumentado indocumentada por no".split()
 )
-_NOTICE = re.compile(r"(?:" + "|".join(NOTICES) + r")\Z", re.I)
+#: A line that begins so is a note to its author.
+_NOTE = re.compile(r"^[\s#*\-.:/@\[({]*(?:todo|fixme|xxx|hack|tbd|tba|wip|noqa|lorem ipsum)\b", re.I)
 
 # Words around a name that add nothing to it.
 FILLER = set(
@@ -62,25 +46,19 @@ FILLER = set(
     " el los las una unos unas del esta este función funcion método metodo clase para y es".split()
 )
 
+#: Words that documentation must add.
+LEAST = 2
+
 _WORD = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _SECTION = re.compile(
     r"^\s*(args|arguments|parameters|params|returns?|raises|yields?|keyword args|keyword arguments|other parameters|attributes|parameter|argumente|rückgabe|rückgabewert|paramètres|arguments|retourne|parámetros|argumentos|devuelve|retorna)\s*:?\s*$", re.I
 )
-_HEAD = re.compile(r"(?:async\s+)?(?:def\s+)?(\w+)\s*\(")
-_CLOSED = re.compile(r"\)\s*(?:->.*)?[:.]?$")
 _RULE = re.compile(r"^\s*[-=~*^#_.]{2,}\s*$")
-_FIELD = re.compile(r"^\s*[:@\\]\s*(param|parameter|arg|argument|type|return|returns|rtype|raise|raises|throws|keyword|key|kwarg|var|ivar|yield|yields|ytype)\b([^:\n]*?)(?::|$|(?<=\w)\s+(?=\S+\s+\S))(.*)$", re.I)
-
-
-def _is_notice(line: str) -> bool:
-    if len(line) > 90 and not line.lstrip().lower().startswith(("todo", "fixme", "lorem ipsum", "xxx")):
-        return False
-    flat = re.sub(r"[\s,;:\u2013\u2014-]+", " ", line).strip(" .`*'\"!?\u2026#_[](){}<>/|~=")
-    if not flat or _NOTICE.match(line.strip(" \t.`*'\"!:\u2026")) or _NOTICE.match(flat):
-        return True
-    words = {w.lower() for w in _WORD.findall(flat)}
-    return bool(words & _NOTICE_KEY) and words <= _NOTICE_KEY | _NOTICE_SMALL
+_FIELD = re.compile(r"^[:@\\](\w+)\b([^:\n]*)(?::(?!\S*:)|$)(.*)$")
+#: Fields of a parameter list that name a type, and those whose first word is a name.
+_TYPE_FIELDS, _NAMED_FIELDS = {"type", "rtype", "ytype"}, {"param", "parameter", "arg", "argument", "keyword", "key", "kwarg", "var", "ivar", "raise", "raises", "throws", "exception"}
+_VALUE_FIELDS = {"return", "returns", "yield", "yields"}
 
 
 def unescape(doc: str) -> str:
@@ -110,39 +88,59 @@ def name_words(name: str) -> list[str]:
     return [w.lower() for part in _WORD.findall(name or "") for w in _CAMEL.split(part) if w]
 
 
-def _only_known(text: str, known: set[str]) -> bool:
-    """Do all words of a line follow from the known ones? Also true without any word."""
+def added_words(text: str, known: set[str]) -> set[str]:
+    """The words of a text that neither follow from the known ones nor belong to fillers and notices."""
+    out = set()
     for raw in _WORD.findall(text):
         for w in [raw] if raw.isupper() or raw.islower() else _CAMEL.split(raw):
             w = w.lower()
-            if w in FILLER or w.isdigit() or _stems(w) & known:
-                continue
-            return False
-    return True
+            if not (w in FILLER or w in NOTICE or w.isdigit() or _stems(w) & known):
+                out.add(w)
+    return out
 
 
-def function_node(signature: str | None, doc: str | None) -> ast.AST | None:
-    """A function or class node with its documentation attached, from a signature with or without ``def``; None where it is cut."""
-    if not signature:
-        return None
-    flat = re.sub(r"\s+", " ", signature).strip().rstrip(":")
-    code = flat if re.match(r"(async\s+)?def\s|class\s", flat) else "def " + flat
+_KEYWORD = re.compile(r"\b(" + "|".join(keyword.kwlist) + r")\b(?=\s*[:=,)])")
+_CONSTANT = {"None", "True", "False"}
+
+
+def parse_function(code: str) -> ast.AST | None:
+    """The first function or class node of a source text, or None."""
     try:
-        node = ast.parse(code + ":\n    pass").body[0]
+        node = ast.parse(code).body[0]
     except (SyntaxError, ValueError, RecursionError, MemoryError, IndexError):
         return None
-    if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        return None
-    if doc is not None:
-        node.body.insert(0, ast.Expr(ast.Constant(doc)))
-    return node
+    return node if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else None
 
 
-def signature_words(signature: str | None, node: ast.AST | None) -> set[str]:
-    """Words of names, annotations and defaults: of the node, or of the text where there is none."""
-    if node is None:
-        return set(name_words(signature or ""))
+def stub_node(name: str | None, signature: str | None) -> ast.AST | None:
+    """The node of a signature with or without ``def``; without a usable one, of the name alone.
+
+    Keywords that stand for parameters get an underscore; a signature that was cut ends after its last whole parameter.
+    """
+    flat = re.sub(r"\s+", " ", signature or "").strip().rstrip(":").strip()
+    if flat:
+        code = flat if re.match(r"(async\s+)?def\s|class\s", flat) else "def " + flat
+        code = _KEYWORD.sub(lambda m: m[1] if m[1] in _CONSTANT else m[1] + "_", code)
+        ends = [len(code)]
+        depth, at = 0, []
+        for i, c in enumerate(code):
+            depth += (c in "([{") - (c in ")]}")
+            if (c == "," and depth == 1) or (c == "(" and depth == 1):
+                at.append(i + (c == "("))
+        for end, close in [(ends[0], ""), (ends[0], ")"), *((i, ")") for i in reversed(at))]:
+            node = parse_function(code[:end] + close + ":\n    pass")
+            if node is not None:
+                return node
+    plain = (name or "").strip()
+    return parse_function(f"def {plain}():\n    pass") if plain.isidentifier() else None
+
+
+def node_words(node: ast.AST | None) -> set[str]:
+    """The words a node says of itself: its name, parameters, annotations, defaults, bases."""
     words: set[str] = set()
+    if node is None:
+        return words
+    words.update(name_words(node.name))
     for part in (getattr(node, "args", None), getattr(node, "returns", None), *getattr(node, "bases", ())):
         for n in ast.walk(part) if part is not None else ():
             for f in ("id", "arg", "attr"):
@@ -150,90 +148,107 @@ def signature_words(signature: str | None, node: ast.AST | None) -> set[str]:
                     words.update(name_words(v))
             if isinstance(n, ast.Constant) and n.value is not None:
                 words.update(name_words(str(n.value)))
-    words.update(name_words(node.name))
     return words
 
 
-def telling_lines(doc: str | None, name: str | None, signature: str | None, params: list[str] | None = None) -> list[str]:
-    """The lines of a docstring that say something beyond name and signature."""
-    if not doc:
-        return []
-    node = function_node(signature, unescape(doc))
-    text = (ast.get_docstring(node, clean=True) if node is not None else textwrap.dedent(unescape(doc))).strip()
+def _own_signature(lines: list[str], at: int, names: set[str]) -> int:
+    """The number of lines that restate the signature from ``at`` on: a header of one of the names that parses, 0 if there is none."""
+    head = re.match(r"[\s`>]*(?:(?:async\s+)?def\s+|class\s+)?(\w+)\s*[(\[:]?", lines[at])
+    if not head or head[1] not in names:
+        return 0
+    depth = 0
+    for n in range(at, len(lines)):
+        depth += lines[n].count("(") - lines[n].count(")")
+        if depth <= 0:
+            text = " ".join(x.strip(" `>") for x in lines[at : n + 1])
+            node = stub_node(None, text.rstrip("`.: ")) if "(" in text else parse_function(text.rstrip("`.: ") + ":\n    pass")
+            return n + 1 - at if node is not None and node.name in names else 0
+    return len(lines) - at if "(" in lines[at] else 0
+
+
+def added_by(doc: str | None, node: ast.AST | None, params: list[str] | None = None) -> set[str]:
+    """The words that the documentation attached to a node adds to what the node says of itself.
+
+    Left out: restated signatures, notes to the author, section titles, rules, and the names and types of parameter lists.
+    """
+    text = textwrap.dedent(unescape(doc or "")).strip()
     if not text:
-        return []
-    words, flat = signature_words(signature, node), re.sub(r"\s+", "", signature or "")
+        return set()
+    words = node_words(node)
     for p in params or ():
         words.update(name_words(p))
-    own = {s for w in name_words(name or "") for s in _stems(w)}
-    known = own | {s for w in words for s in _stems(w)}
-    squeezed = re.sub(r"\s+", "", text)
-    if flat and squeezed.strip("`.: ") in (flat, flat.removeprefix("def"), "def" + flat):
-        return []
-    out = []
+    known = {s for w in words for s in _stems(w)}
+    own = {node.name} if node is not None else set()
     lines = text.split("\n")
+    out: set[str] = set()
     at, section = 0, False
-    depth = 0
     while at < len(lines):
         line = lines[at].strip()
-        at += 1
-        if not line:
+        skip = _own_signature(lines, at, own)
+        at += skip or 1
+        if skip or not line or _NOTE.match(line) or _RULE.match(line):
             continue
-        if depth > 0 or (name and (m := _HEAD.match(line)) and m[1] == name):
-            # a signature, also over several lines
-            depth += line.count("(") - line.count(")")
-            if depth > 0:
-                continue
-            depth = 0
-            if _CLOSED.search(line) or _only_known(line, known):
-                continue
         if _SECTION.match(line):
             section = True
             continue
-        if _RULE.match(line):
-            continue
         if m := _FIELD.match(line):
-            line = "" if m[1].lower() in ("type", "rtype", "ytype") else m[3].strip()
-            if not line:
+            field, name, rest = m[1].lower(), m[2].strip(), m[3].strip()
+            if field in _TYPE_FIELDS:
                 continue
-        elif section and (m := re.match(r"^[*`]*(\w+)[*`]*\s*(\([^)]*\))?\s*(:|--?|–)\s*(.*)$", line)) and _only_known(m[1], known | {"return", "self"}):
+            if field in _NAMED_FIELDS:
+                # the name, with or without its type before it and a colon after it
+                line = rest if m[0][m.end(2) : m.end(2) + 1] == ":" else " ".join(name.split()[1:])
+            elif field in _VALUE_FIELDS:
+                line = f"{name} {rest}"
+            if _NOTE.match(line):
+                continue
+        elif section and (m := re.match(r"^[*`]*(\w+)[*`]*\s*(\([^)]*\))?\s*(:|--?|–)\s*(.*)$", line)) and not added_words(m[1], known | {"return", "self"}):
             line = m[4].strip()
-        if _is_notice(line):
-            continue
-        kept = [s for s in re.split(r"(?<=[.!?])\s+", line) if not (_is_notice(s) or _only_known(s, known))]
-        if kept:
-            out.append(" ".join(kept))
+            if _NOTE.match(line):
+                continue
+        out |= added_words(line, known)
     return out
 
 
-def informative(doc: str | None, name: str | None, signature: str | None, params: list[str] | None = None, least_words: int = 3) -> bool:
-    """Does a docstring tell something that does not follow from name and signature alone?"""
-    return len(_WORD.findall(" ".join(telling_lines(doc, name, signature, params)))) >= least_words
+def informative(doc: str | None, name: str | None, signature: str | None, params: list[str] | None = None, least_words: int = LEAST, source_words: list[str] | None = None) -> bool:
+    """Does a docstring tell something that does not follow from name and signature alone?
+
+    ``source_words``: what the node of the member's source says of itself, where its source is known.
+    """
+    return len(added_by(doc, stub_node(name, signature), [*(params or ()), *(source_words or ())])) >= least_words
 
 
-def members_telling(members: DataFrame, least_words: int = 3) -> DataFrame:
+def members_telling(members: DataFrame, chunks: DataFrame | None = None, least_words: int = LEAST) -> DataFrame:
     """The functions and methods of a member table whose documentation tells something.
 
-    All columns of the input, one row for rows equal in every column but id (the smallest id). Kinds compare
-    without regard to case; null and empty docstrings tell nothing; a null or cut signature is read
-    by its words; very long docstrings are read whole; an empty table gives no rows.
+    All columns of the input, one row for rows equal in every column but id (the smallest id). With
+    ``chunks`` the documentation is that of the function node of the member's source, and its names count
+    as known, where a chunk holds it (same module, name and documentation); else the node of the signature
+    is taken, and of the name where there is no signature. Kinds compare without regard to case; null and
+    empty docstrings tell nothing; very long docstrings are read whole; an empty table gives no rows.
     """
     rows = members.where(F.lower(strip("kind")).isin("function", "method") & F.col("docstring").isNotNull() & (F.trim("docstring") != ""))
     rest = [c for c in members.columns if c != "id"]
     rows = rows.groupBy(*rest).agg(F.min("id").alias("id"))
 
     @F.pandas_udf("boolean")
-    def tells(doc, name, signature, params):  # noqa: ANN001, ANN202
+    def tells(doc, name, signature, params, words):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([informative(d, n, s, list(p) if p is not None else None, least_words) for d, n, s, p in zip(doc, name, signature, params, strict=True)])
+        return pd.Series([informative(d, n, s, list(p) if p is not None else None, least_words, list(w) if w is not None else None) for d, n, s, p, w in zip(doc, name, signature, params, words, strict=True)])
 
     names = F.transform("parameters", lambda p: F.concat_ws(" ", p["name"], p["annotation"], p["default"]))
-    return rows.where(tells("docstring", "name", "signature", names)).select(*members.columns)
+    if chunks is None:
+        return rows.where(tells("docstring", "name", "signature", names, F.lit(None).cast("array<string>"))).select(*members.columns)
+    f = functions_of(chunks).where("docstring is not null").select(strip("module").alias("__m"), F.col("name").alias("__n"), _fingerprint("docstring").alias("__p"), "docstring", "words", "chunk_id", "first_line")
+    f = f.groupBy("__m", "__n", "__p").agg(F.max_by(F.struct("docstring", "words"), F.struct("chunk_id", "first_line")).alias("__source"))
+    met = rows.join(f, (strip("module") == F.col("__m")) & (strip("name") == F.col("__n")) & (_fingerprint(rows["docstring"]) == F.col("__p")), "left")
+    doc = F.coalesce("__source.docstring", rows["docstring"])
+    return met.where(tells(doc, "name", "signature", names, F.col("__source.words"))).select(*(rows[c] for c in members.columns))
 
 
-FUNCTION = "chunk_id long, module string, qualified_name string, name string, kind string, code string, docstring string, signature string, first_line int, last_line int"
-_TYPES = [("chunk_id", pa.int64()), ("module", pa.string()), ("qualified_name", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("code", pa.string()), ("docstring", pa.string()), ("signature", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())]
+FUNCTION = "chunk_id long, module string, qualified_name string, name string, kind string, code string, docstring string, signature string, words array<string>, first_line int, last_line int"
+_TYPES = [("chunk_id", pa.int64()), ("module", pa.string()), ("qualified_name", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("code", pa.string()), ("docstring", pa.string()), ("signature", pa.string()), ("words", pa.list_(pa.string())), ("first_line", pa.int32()), ("last_line", pa.int32())]
 
 
 _DEF = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)(?=\s*[(\[])|class[ \t]+\w+(?=\s*[(\[:])")
@@ -375,7 +390,7 @@ def functions_of(chunks: DataFrame, id_col: str = "id") -> DataFrame:
                 for name, doc, code, a, z, in_class in visit_functions(text):
                     q = qual if name == own else f"{qual}.{name}" if qual else name
                     head = code.split(":\n", 1)[0]
-                    out.append((i, module, q, name, "method" if in_class else "function", code, doc, head, None if first is None else first + a, None if first is None else first + z))
+                    out.append((i, module, q, name, "method" if in_class else "function", code, doc, head, sorted(node_words(stub_node(name, re.sub(r"^(?:\s*@[^\n]*\n)+", "", head)))), None if first is None else first + a, None if first is None else first + z))
             cols = list(zip(*out, strict=True)) if out else [[]] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _TYPES, strict=True)], names=[n for n, _ in _TYPES])
 
@@ -389,13 +404,13 @@ def _fingerprint(doc: Column | str) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.regexp_replace(c, r"\\[nrt]", " "), r"[^\p{L}\p{N}]+", "")))
 
 
-def code_pairs(members: DataFrame, chunks: DataFrame, least_words: int = 3) -> DataFrame:
+def code_pairs(members: DataFrame, chunks: DataFrame, least_words: int = LEAST) -> DataFrame:
     """(id, module, name, code, docstring, chunk_id, first_line, last_line): members with telling documentation and their code.
 
     A member meets the functions of its module that have its name and its documentation; of several
     (a chunk indexed again) the largest chunk id counts. Members whose code is in no chunk are left out.
     """
-    m = members_telling(members, least_words).select("id", strip("module").alias("module"), strip("name").alias("name"), "docstring", _fingerprint("docstring").alias("print"))
+    m = members_telling(members, None, least_words).select("id", strip("module").alias("module"), strip("name").alias("name"), "docstring", _fingerprint("docstring").alias("print"))
     f = functions_of(chunks).where("docstring is not null").select(strip("module").alias("module"), "name", _fingerprint("docstring").alias("print"), "code", "chunk_id", "first_line", "last_line")
     w = W.partitionBy("id").orderBy(F.desc("chunk_id"), "first_line")
     return m.join(f, ["module", "name", "print"]).withColumn("__n", F.row_number().over(w)).where("__n = 1").select("id", "module", "name", "code", "docstring", "chunk_id", "first_line", "last_line")

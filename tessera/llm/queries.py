@@ -36,7 +36,7 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return code_docs.members_telling(table(spark, d, "module_members")).select("id")
+    return code_docs.members_telling(table(spark, d, "module_members"), table(spark, d, "chunks")).select("id")
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
