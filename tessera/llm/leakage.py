@@ -1,10 +1,11 @@
 """Held-out items that leak into a corpus, also re-parameterised.
 
-Texts become words (runs of letters and digits, without regard to case, width and invisible characters).
-Numbers, names and units are replaced by typed placeholders; windows of the template are hashed and looked
-up in the windows of the items. Where enough windows lie on one diagonal, the passage is aligned word by
-word, its edits are counted, and its slots are checked: a re-parameterised item maps each old value to one
-new value.
+Texts become words (runs of letters and digits, without regard to case, width and invisible characters),
+and words become a template: numbers, names and units are typed placeholders. Hashes of template windows
+of the corpus are joined with those of the items; only windows whose bit is set in a bitmap of the items
+leave the task that read the text. Where enough windows of a document and an item lie on one diagonal, the
+passage is aligned word by word and its edits are counted; where the words differ too much, the templates
+are aligned and the slots checked: a re-parameterised item maps each old value to one new value.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window. Of 40 words with 4 edits at least 6 windows of 7 stay whole, see ``MIN_HITS``.
+from tessera.session import cut, partitions
+
+#: Words of a template window. Of 40 words with 4 edits at least 6 windows of 7 stay whole, see ``MIN_HITS``.
 WINDOW, MIN_HITS = 7, 6
-#: Words of a template window.
-TEMPLATE_WINDOW = 9
-#: Shortest passage, and the share of its words that may be replaced, dropped or added.
-MIN_WORDS, MAX_EDITS = 40, 0.1
+#: Shortest passage, and the share of its words that may be replaced, dropped or added; of a template whose slots differ, less.
+MIN_WORDS, MAX_EDITS, TEMPLATE_EDITS = 40, 0.1, 0.05
+#: Of 40 template words with 2 edits at least 20 windows stay whole.
+MIN_TEMPLATE_HITS = 20
+#: Words of a document that a passage of less than twice the least length spans at most, edits included.
+SPAN = 88
 #: Items are looked up in blocks of at most so many words, one pass over the corpus for each block.
 BLOCK_WORDS = 2_000_000
 #: Half the width of a band of diagonals.
@@ -38,18 +43,18 @@ UNITS = set(
 )
 NUM, NAME, UNIT = 1, 2, 3
 
-#: A word with the underscores beside it, which make it part of a name.
-_TOKEN = re.compile(r"_?[^\W_]+_?")
+#: A word, with the underscore that ties it to the next one.
+_TOKEN = re.compile(r"[^\W_]+(?:_(?=[^\W_]))?")
 _RUN = re.compile(r"[^\W_]+")
-_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|[nrtfb\"'/\\])")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,200}?-->", re.S)
+_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(_)|[nrtfb\"'/\\])")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*+>|<!--.*?-->", re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});")
 
 
 def clean(text: str) -> str:
     """Escapes, entities and tags taken out, width folded, invisible characters removed."""
     if "\\" in text:
-        text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
+        text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else m[2] or " ", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
@@ -62,29 +67,36 @@ def clean(text: str) -> str:
 
 
 class Words:
-    """Text to word and template numbers, against the vocabulary of a block of items."""
+    """Text to word and template numbers, against the vocabulary of a block of items.
+
+    What a word stands for in the template follows from its letters without regard to case and from the
+    underscores that tie it to its neighbours, so that equal words have equal templates: a number, a word
+    with a digit, of a tied name, or written as a name (``camelCase``) in an item, a unit, or itself. Words that no
+    item has are names by their own shape.
+    """
 
-    def __init__(self, vocab: dict[str, int], joined: dict[str, tuple[int, int]]) -> None:
-        self.vocab, self.joined = vocab, joined
+    def __init__(self, vocab: dict[str, int], joined: dict[str, tuple[int, int]], names: set[str]) -> None:
+        self.vocab, self.joined, self.names = vocab, joined, names
         self.of: dict[str, int] = {}
-        self.table = np.empty((1 << 12, 3), np.int64)
+        self.table = np.empty((1 << 12, 4), np.int64)
 
-    def _row(self, tok: str) -> tuple[int, int, int]:
-        """(word, template, second word of two that stand joined)."""
-        w = tok.strip("_")
+    def _row(self, tok: str) -> tuple[int, int, int, int]:
+        """(word, template, second word of two that stand joined, tied to the next)."""
+        w = tok.rstrip("_")
         low = w.casefold()
         got, second = self.vocab.get(low), 0
-        if got is None:
+        known = got is not None
+        if not known:
             got, second = self.joined.get(low, (0, 0))
         if low.isdigit():
             form = NUM
-        elif len(w) < len(tok) or (len(w) > 3 and not w.isupper() and any(c.isupper() for c in w[1:])) or any(c.isdigit() for c in w):
+        elif low in self.names or any(c.isdigit() for c in w) or (not known and not second and shaped_as_name(w)):
             form = NAME
         elif low in UNITS:
             form = UNIT
         else:
             form = got
-        return got, form, second
+        return got, form, second, len(w) < len(tok)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, template numbers); 0 is a word that no item has, which no window may hold."""
@@ -98,14 +110,21 @@ class Words:
             self.table[len(of)] = self._row(t)
             of[t] = len(of)
         got = self.table[np.fromiter(map(of.__getitem__, tokens), np.int64, len(tokens))]
-        ids, forms, second = got[:, 0], got[:, 1], got[:, 2]
+        ids, forms, second, tied = got[:, 0], got[:, 1], got[:, 2], got[:, 3] > 0
+        tied[1:] |= tied[:-1].copy()
+        forms = np.where(tied & (forms != NUM), NAME, forms)
         two = np.flatnonzero(second)
         if len(two):
-            ids = np.insert(ids, two + 1, second[two])
-            forms = np.insert(forms, two + 1, np.where(forms[two] == ids[two + np.arange(len(two))], second[two], forms[two]))
+            again = np.where(forms[two] == ids[two], second[two], forms[two])
+            ids, forms = np.insert(ids, two + 1, second[two]), np.insert(forms, two + 1, again)
         return ids, forms
 
 
+def shaped_as_name(w: str) -> bool:
+    """Capitals inside a word that is not in capitals altogether."""
+    return len(w) > 3 and not w.isupper() and any(c.isupper() for c in w[1:])
+
+
 _MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(32)], np.uint64)
 
 
@@ -128,77 +147,69 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Vocabulary, words and window table of a block of items."""
+    """Vocabulary, words, templates and template windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         texts = {i: clean(t) for i, t in items}
         vocab: dict[str, int] = {}
+        names: set[str] = set()
         for t in texts.values():
             for w in _RUN.findall(t):
                 vocab.setdefault(w.casefold(), len(vocab) + 16)
-        joined: dict[str, tuple[int, ...]] = {}
+                if shaped_as_name(w):
+                    names.add(w.casefold())
+        joined: dict[str, tuple[int, int]] = {}
         self.words: dict[int, np.ndarray] = {}
         self.forms: dict[int, np.ndarray] = {}
         self.spoken: dict[int, list[str]] = {}
-        enc = Words(vocab, {})
-        hashes, owners, places = [], [], []
-        for k, (i, t) in enumerate(texts.items()):
+        enc = Words(vocab, {}, names)
+        hashes, words, owners, places = [], [], [], []
+        for i, t in texts.items():
             ids, forms = enc.encode(t)
             self.words[i], self.forms[i] = ids, forms
-            self.spoken[i] = [w.strip("_").casefold() for w in _TOKEN.findall(t)]
-            runs = [w.casefold() for w in _RUN.findall(t)]
-            for a, b in zip(runs, runs[1:], strict=False):
+            self.spoken[i] = spoken(t)
+            for a, b in zip(self.spoken[i], self.spoken[i][1:], strict=False):
                 if a + b not in vocab:  # punctuation between the two may be lost
                     joined.setdefault(a + b, (vocab[a], vocab[b]))
-            for h in (window_hashes(ids, WINDOW), window_hashes(forms, TEMPLATE_WINDOW)):
-                p = np.flatnonzero(h)
-                hashes.append(h[p])
-                owners.append(np.full(len(p), k, np.int64))
-                places.append(p)
-        self.ids = list(texts)
-        self.vocab, self.joined = vocab, joined
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        o, p = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owners, places))
-        order = np.lexsort((p, o, h))
-        self.h, self.owner, self.place = h[order], o[order], p[order]
-        self.uniq, self.first = np.unique(self.h, return_index=True)
-        self.last = np.r_[self.first[1:], len(self.h)] if len(self.uniq) else self.first
-        # a bitmap on the low bits spares most look-ups
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.uniq >> np.uint64(20)) & np.uint64((1 << 20) - 1)] = True
-
-    def candidates(self, ids: np.ndarray, forms: np.ndarray) -> list[tuple[int, int]]:
-        """(item number, diagonal) with at least MIN_HITS item windows in the band around the diagonal."""
-        where, which = [], []
-        for h in (window_hashes(ids, WINDOW), window_hashes(forms, TEMPLATE_WINDOW)):
-            j = np.flatnonzero(self.bits[(h >> np.uint64(20)) & np.uint64((1 << 20) - 1)] & (h != 0))
-            if len(j):
-                at = np.searchsorted(self.uniq, h[j])
-                at[at == len(self.uniq)] = 0
-                ok = self.uniq[at] == h[j]
-                where.append(j[ok])
-                which.append(at[ok])
-        if sum(map(len, where)) < MIN_HITS:
-            return []
-        j, at = np.concatenate(where), np.concatenate(which)
-        reps = self.last[at] - self.first[at]
-        rows = np.repeat(self.first[at] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-        owner = self.owner[rows]
-        often = np.bincount(owner, minlength=len(self.ids)) >= MIN_HITS
-        if not often.any():
-            return []
-        keep = often[owner]
-        owner, place = owner[keep], self.place[rows][keep]
-        diag = np.repeat(j, reps)[keep] - place
-        # each hit counts for the two nearest centres, so every run of half a band is seen whole
-        step = BAND // 2
-        c = np.concatenate([diag // step, diag // step + 1]) + (1 << 28)
-        key, place = np.tile(owner, 2) << 29 | c, np.tile(place, 2)
-        order = np.lexsort((place, key))
-        key, place = key[order], place[order]
-        once = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]
-        pair, n = np.unique(key[once], return_counts=True)
-        return [(int(x >> 29), (int(x & ((1 << 29) - 1)) - (1 << 28)) * step) for x in pair[n >= MIN_HITS]]
+            h = window_hashes(forms, WINDOW)
+            p = np.flatnonzero(h)
+            hashes.append(h[p])
+            words.append(window_hashes(ids, WINDOW)[p])
+            owners.append(np.full(len(p), i, np.int64))
+            places.append(p)
+        self.lexicon = (vocab, joined, names)
+        none = np.empty(0, np.uint64)
+        h, w = (np.concatenate(x) if x else none for x in (hashes, words))
+        self.owner, self.place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owners, places))
+        # bitmaps over some bits of the hashes: at least 64 bits for each window up to 16 MB, then fewer
+        self.low = min(27, max(16, int(64 * len(h)).bit_length()))
+        self.templates, self.exact = np.zeros(1 << self.low, bool), np.zeros(1 << self.low, bool)
+        self.templates[self._bit(h)] = True
+        self.exact[self._bit(w)] = True
+        self.h, self.w = h.view(np.int64), w.view(np.int64)
+
+    def _bit(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(20)) & np.uint64((1 << self.low) - 1)
+
+    def passing(self, ids: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(template hash, word hash, place) of the windows of a document that an item may have; None if they are too few for any passage."""
+        h = window_hashes(forms, WINDOW)
+        at = np.flatnonzero(self.templates[self._bit(h)] & (h != 0))
+        if len(at) < MIN_HITS:
+            return None
+        w = window_hashes(ids, WINDOW)[at]
+        same = at[self.exact[self._bit(w)] & (w != 0)]
+        if not any(len(x) >= n and (x[n - 1 :] - x[: len(x) - n + 1]).min() < SPAN for x, n in ((same, MIN_HITS), (at, MIN_TEMPLATE_HITS))):
+            return None
+        return h[at].view(np.int64), w.view(np.int64), at
+
+    def windows(self) -> pa.Table:
+        return pa.table({"h": pa.array(self.h, pa.int64()), "item_w": pa.array(self.w, pa.int64()), "item_id": pa.array(self.owner, pa.int64()), "place": pa.array(self.place, pa.int64())})
+
+
+def spoken(text: str) -> list[str]:
+    """The words of a cleaned text."""
+    return [w.casefold() for w in _RUN.findall(text)]
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray, int]], least: int = MIN_WORDS, share: float = MAX_EDITS) -> list[tuple[int, int, int, int] | None]:
@@ -291,28 +302,28 @@ RESULT = "doc_id long, item_id long, kind string, words int, edits int, slots_ch
 _TYPES = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("words", pa.int32()), ("edits", pa.int32()), ("slots_changed", pa.int32()), ("slots_consistent", pa.bool_())]
 
 
-def find_in(index: ItemIndex, enc: Words, docs: list[tuple[int, str]], templates: bool) -> list[tuple]:
-    """Result rows of a few documents; alignments run for many pairs at once."""
-    todo: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
-    text_of = dict(docs)
-    for doc_id, text in docs:
+def judge(index: ItemIndex, enc: Words, docs: list[tuple[int, str, list[tuple[int, int]]]], templates: bool) -> list[tuple]:
+    """Result rows of a few documents with their candidates (item, diagonal); alignments run for many pairs at once."""
+    todo: list[tuple[int, int, int, np.ndarray, np.ndarray, str]] = []
+    for doc_id, text, pairs in docs:
         ids, forms = enc.encode(text)
-        for k, d in index.candidates(ids, forms):
-            todo.append((doc_id, index.ids[k], d, ids, forms))
+        todo += [(doc_id, it, d, ids, forms, text) for it, d in sorted(pairs)]
     found: dict[tuple[int, int], tuple] = {}
-    spoken_of: dict[int, list[str]] = {}
+    last, words = None, []
     for i in range(0, len(todo), 256):
         part = todo[i : i + 256]
-        exact = align([(index.words[it], ids, d) for _, it, d, ids, _ in part])
-        loose = align([(index.forms[it], forms, d) for _, it, d, _, forms in part]) if templates else [None] * len(part)
-        for (doc_id, it, _, ids, _), a, b in zip(part, exact, loose, strict=True):
+        exact = align([(index.words[it], ids, d) for _, it, d, ids, _, _ in part])
+        loose: list = [None] * len(part)
+        rest = [k for k, got in enumerate(exact) if got is None] if templates else []
+        for k, got in zip(rest, align([(index.forms[part[k][1]], part[k][4], part[k][2]) for k in rest], share=TEMPLATE_EDITS), strict=True):
+            loose[k] = got
+        for (doc_id, it, _, ids, _, text), a, b in zip(part, exact, loose, strict=True):
             got = a or b
             if got is None:
                 continue
-            if doc_id not in spoken_of:
-                spoken_of = {doc_id: [t.strip("_").casefold() for t in _TOKEN.findall(clean(text_of[doc_id]))]}
-            spoken = spoken_of[doc_id]
-            values, doc_values = (index.spoken[it], spoken) if len(spoken) == len(ids) else (index.words[it].tolist(), ids.tolist())
+            if last is not text:
+                last, words = text, spoken(clean(text))
+            values, doc_values = (index.spoken[it], words) if len(words) == len(ids) else (index.words[it].tolist(), ids.tolist())
             changed, ok = slots(values, index.forms[it], doc_values, got[3] - got[2], got[2] - got[0] + 1, got[2])
             if a is None and not ok:
                 continue
@@ -323,6 +334,61 @@ def find_in(index: ItemIndex, enc: Words, docs: list[tuple[int, str]], templates
     return list(found.values())
 
 
+_HITS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("at", pa.int64())])))])
+
+
+def _scan(rows: DataFrame, block: list[tuple[int, str]], templates: bool) -> DataFrame:
+    """Leaks of one block of items: windows that may be an item's, the join on their hash, bands, alignment."""
+    spark = rows.sparkSession
+    built = ItemIndex(block)
+    index = spark.sparkContext.broadcast(built)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        enc = Words(*ix.lexicon)
+        for b in batches:
+            keep, found = [], []
+            for k, text in enumerate(b.column(2).to_pylist()):
+                got = ix.passing(*enc.encode(text))
+                if got is not None:
+                    keep.append(k)
+                    found.append(got)
+            if not keep:
+                continue
+            ends = np.cumsum([0] + [len(x[0]) for x in found])
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([x[j] for x in found]), pa.int64()) for j in (0, 1, 2)], fields=list(_HITS.field("hits").type.value_type))
+            ids = [b.column(j).take(pa.array(keep, pa.int64())) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(_HITS.field("hits").type)], schema=_HITS)
+
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    met = keyed.mapInArrow(hits, "doc_id long, key long, hits array<struct<h:long,w:long,at:long>>")
+    windows = spark.createDataFrame(built.windows())
+    step = BAND // 2
+    each = met.select("doc_id", "key", F.explode("hits").alias("x")).select("doc_id", "key", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.at").alias("at"))
+    # each hit counts for the two nearest centres, so every run of half a band is seen whole
+    centre = F.floor((F.col("at") - F.col("place")) / step)
+    bands = each.join(windows, "h").select("doc_id", "key", "item_id", "place", ((F.col("w") == F.col("item_w")) & (F.col("w") != 0)).alias("same"), F.explode(F.array(centre, centre + 1)).alias("centre"))
+    once = bands.groupBy("doc_id", "key", "item_id", "centre", "place").agg(F.max("same").alias("same"))
+    enough = (F.sum(F.col("same").cast("int")) >= MIN_HITS) | F.lit(templates) & (F.count("*") >= MIN_TEMPLATE_HITS)
+    pairs = once.groupBy("doc_id", "key", "item_id", "centre").agg(enough.alias("enough")).where("enough")
+    todo = cut(pairs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", (F.col("centre") * step).alias("diagonal"))).alias("pairs")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        enc = Words(*ix.lexicon)
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                p = b.slice(i, 64)
+                pairs_ = [[(x["item_id"], x["diagonal"]) for x in row] for row in p.column(2).to_pylist()]
+                got = judge(ix, enc, list(zip(p.column(0).to_pylist(), p.column(1).to_pylist(), pairs_, strict=True)), templates)
+                cols = list(zip(*got, strict=True)) if got else [[]] * len(_TYPES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _TYPES, strict=True)], names=[n for n, _ in _TYPES])
+
+    # the texts of the candidates are read again rather than kept; rows repeated with id and text are aligned as often
+    spread = keyed.join(todo, ["doc_id", "key"]).select("doc_id", "text", "pairs").repartition(partitions(spark), "doc_id", F.length("text"))
+    return spread.mapInArrow(run, RESULT)
+
+
 def leaks(docs: DataFrame, items: DataFrame, templates: bool = True, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, kind, words, edits, slots_changed, slots_consistent), one row for each leak.
 
@@ -335,37 +401,20 @@ def leaks(docs: DataFrame, items: DataFrame, templates: bool = True, doc_col: st
     ids give one row; an item that holds a passage of another is reported beside it. Extra columns are
     ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and text != ''")
     out = None
     block: list[tuple[int, str]] = []
     size = 0
-
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(ItemIndex(block))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            enc = Words(ix.vocab, ix.joined)
-            for b in batches:
-                for i in range(0, b.num_rows, 256):
-                    p = b.slice(i, 256)
-                    got = find_in(ix, enc, list(zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)), templates)
-                    cols = list(zip(*got, strict=True)) if got else [[]] * len(_TYPES)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _TYPES, strict=True)], names=[n for n, _ in _TYPES])
-
-        return rows.mapInArrow(run, RESULT)
-
     for r in items.select(F.col(item_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).distinct().orderBy(item_col, text_col).toLocalIterator():
         n = len(r[1]) // 4 + 1
         if block and size + n > block_words or any(r[0] == i for i, _ in block[-1:]):
-            part = scan(block)
+            part = _scan(rows, block, templates)
             out = part if out is None else out.unionByName(part)
             block, size = [], 0
         block.append((r[0], r[1]))
         size += n
     if block or out is None:
-        part = scan(block)
+        part = _scan(rows, block, templates)
         out = part if out is None else out.unionByName(part)
     best = F.max_by(F.struct("kind", "words", "edits", "slots_changed", "slots_consistent"), F.struct((F.col("kind") == "verbatim").alias("v"), "words", (-F.col("edits")).alias("e"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

@@ -44,7 +44,7 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), templates=False)
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.where("kind = 'verbatim'").select("doc_id", "item_id")
 
 
