@@ -41,19 +41,26 @@ def lines_of(text: str) -> list[tuple[int, int, int]]:
 
 
 def boundary_class(text: str, lines: list[tuple[int, int, int]], limit: int) -> str:
-    """The finest boundary that cuts of at most ``limit`` need, the overlap left aside."""
-    block = longest_block = longest_line = 0
-    start = None
+    """The finest boundary that cuts of at most ``limit`` need, the overlap left aside: that of the weakest cut which merging leaves.
+
+    The segments are the lines that are not blank, without the line ends and blank lines around them. Merging
+    dissolves every boundary inside a block before one at a blank line, so a block that fits is whole
+    and one that does not keeps a cut at a line, or inside a line that does not fit.
+    """
+    segments: list[tuple[int, int, int]] = []
+    blank = False
     for s, e, _ in lines:
-        longest_line = max(longest_line, e - s)
-        if text[s:e].strip(" \t"):
-            if start is None:
-                start = s
-            block = e - start
-            longest_block = max(longest_block, block)
-        else:
-            start = None
-    return "blank" if longest_block <= limit else "line" if longest_line <= limit else "inline"
+        if not text[s:e].strip(" \t"):
+            blank = True
+            continue
+        level = BLANK if blank else LINE
+        blank = False
+        at = s
+        for part_level, cut in _parts(text, s, e, limit) if e - s > limit else ((level, e),):
+            segments.append((at, cut, level if at == s else min(part_level, SENTENCE)))
+            at = cut
+    weakest = min((level for _, _, level in merge(segments, limit, 0)[1:]), default=BLANK)
+    return "blank" if weakest == BLANK else "line" if weakest == LINE else "inline"
 
 
 def atoms(text: str, lines: list[tuple[int, int, int]], most: int) -> list[tuple[int, int, int]]:
