@@ -11,6 +11,7 @@ are aligned and the slots checked: a re-parameterised item maps each old value t
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -29,8 +30,6 @@ WINDOW, MIN_HITS = 7, 6
 MIN_WORDS, MAX_EDITS, TEMPLATE_EDITS = 40, 0.1, 0.05
 #: Of 40 template words with 2 edits at least 20 windows stay whole.
 MIN_TEMPLATE_HITS = 20
-#: Words of a document that a passage of less than twice the least length spans at most, edits included.
-SPAN = 88
 #: Items are looked up in blocks of at most so many words, one pass over the corpus for each block.
 BLOCK_WORDS = 2_000_000
 #: Half the width of a band of diagonals.
@@ -199,14 +198,31 @@ class ItemIndex:
             return None
         w = window_hashes(ids, WINDOW)[at]
         same = at[self.exact[self._bit(w)] & (w != 0)]
-        if not any(len(x) >= n and (x[n - 1 :] - x[: len(x) - n + 1]).min() < SPAN for x, n in ((same, MIN_HITS), (at, MIN_TEMPLATE_HITS))):
-            return None
-        return h[at].view(np.int64), w.view(np.int64), at
+        keep = np.isin(at, dense(same, MAX_EDITS)) | np.isin(at, dense(at, TEMPLATE_EDITS))
+        return (h[at[keep]].view(np.int64), w[keep].view(np.int64), at[keep]) if keep.any() else None
 
     def windows(self) -> pa.Table:
         return pa.table({"h": pa.array(self.h, pa.int64()), "item_w": pa.array(self.w, pa.int64()), "item_id": pa.array(self.owner, pa.int64()), "place": pa.array(self.place, pa.int64())})
 
 
+def dense(at: np.ndarray, share: float) -> np.ndarray:
+    """Those of the sorted places that may belong to a passage, given how many windows it keeps whole in how few words.
+
+    A passage of n words with e edits keeps n - WINDOW + 1 - e * WINDOW windows in at most n + e words. Of the lengths with
+    as many edits the shortest asks for the least, and passages of twice the least length contain shorter ones.
+    """
+    ok = np.zeros(len(at), np.int64)
+    edits = int(MIN_WORDS * share)
+    while (n := max(MIN_WORDS, math.ceil(edits / share))) < 2 * MIN_WORDS:
+        least = n - WINDOW + 1 - edits * WINDOW
+        first = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= n + edits - WINDOW) if len(at) >= least else np.empty(0, np.int64)
+        np.add.at(ok, first, 1)
+        ends = first + least
+        np.add.at(ok, ends[ends < len(at)], -1)
+        edits += 1
+    return at[np.cumsum(ok) > 0]
+
+
 def spoken(text: str) -> list[str]:
     """The words of a cleaned text."""
     return [w.casefold() for w in _RUN.findall(text)]
