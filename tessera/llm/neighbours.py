@@ -1,9 +1,12 @@
 """The k most similar vectors of every vector, with balanced posting lists.
 
-Centroids are fitted on a bounded sample so that their lists are about equally long; every vector is
+The number of lists grows with the number of vectors. Centroids are fitted on a bounded sample so that
+their lists are about equally long; where there must be more lists than a sample can carry, those centroids
+become regions, and each region fits the centroids of its lists on its own bounded sample. Every vector is
 stored in the list of its nearest centroid and, at a boundary, in those that are nearly as near. Centroids
 are found by best-first search over an in-memory neighbour graph, and as a query a vector visits the
-lists whose centroid distance is within a ratio of the nearest. Equal vectors are searched once.
+lists whose centroid distance is within a ratio of the nearest. Equal vectors are searched once. Postings
+are counted before lists are compared, and a list that is long is compared as a grid of blocks.
 """
 
 from __future__ import annotations
@@ -18,12 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-#: Vectors a list should hold, most lists (they are kept in memory), vectors the centroids are fitted on.
-LIST_SIZE, MAX_LISTS, SAMPLE = 300, 16_384, 20_000
+from tessera.session import cut
+
+#: Vectors a list should hold, vectors the first centroids are fitted on, sampled vectors for each of these and for each centroid of a region.
+LIST_SIZE, SAMPLE, PER_CENTROID, PER_REGION_CENTROID = 300, 20_000, 4, 8
+#: Rows of a region that one task looks up; a region with more is looked up by several.
+REGION_ROWS = 50_000
+#: Regions a vector visits at most, where lists are found by region.
+REGION_MOST = 4
 #: Vectors stored up to this ratio of the nearest centroid's distance, in at most so many lists.
 STORE_RATIO, STORE_MOST = 1.04, 3
-#: Lists visited up to this ratio, at most so many.
-VISIT_RATIO, VISIT_MOST = 1.10, 10
+#: Lists visited up to this ratio, at most so many; a vector that is a centroid visits the next ones too.
+VISIT_RATIO, VISIT_MOST, VISIT_LEAST = 1.10, 10, 3
 #: Rows of one list compared in one task; longer lists are compared block by block.
 BLOCK = 4096
 
@@ -144,11 +153,12 @@ class CentroidGraph:
         return ids, cos, done | (cos == -np.inf)
 
 
-def _choose(ids: np.ndarray, cos: np.ndarray, ratio: float, most: int) -> np.ndarray:
-    """Which of the found lists are within the distance ratio of the nearest, at most so many."""
+def _choose(ids: np.ndarray, cos: np.ndarray, ratio: float, most: int, least: int = 1) -> np.ndarray:
+    """Which of the found lists are within the distance ratio of the nearest, at most so many; the first ``least`` in any case."""
     d = np.sqrt(np.maximum(0.0, 2 - 2 * cos.astype(np.float64)))
     ok = (ids >= 0) & (d <= np.maximum(ratio * d[:, :1], d[:, :1] + 1e-6))
     ok[:, most:] = False
+    ok[:, :least] = ids[:, :least] >= 0
     return ok
 
 
@@ -172,10 +182,12 @@ def all_neighbours(
     of their own. With fewer than k other rows there are fewer neighbours. ``min_cosine`` leaves out pairs
     below it. Extra columns are ignored.
 
-    Approximate: a neighbour is missed if no list is shared. Two vectors that are equal byte by byte share
+    Approximate: a neighbour is missed if no list is shared. Lists are as many as vectors / ``list_size``, however many
+    those are. Two vectors that are equal byte by byte share
     one search, so a vector that a third of all rows hold costs no more than another.
 
-    The centroids are fitted on at most ``sample`` rows; every row is indexed.
+    The first centroids are fitted on at most ``sample`` rows, those of a region on PER_REGION_CENTROID rows for each
+    of its lists; every row is indexed.
     """
     vecs = usable(df, id_col, vec_col, dim)
     keep = k + 1
@@ -189,38 +201,23 @@ def all_neighbours(
         return spark.createDataFrame([], "id long, neighbour long, cosine double, rank int")
     part = max(1, math.ceil(min(1.0, 1.2 * sample / n) * 1_000_000))
     got = vecs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).select("vec").limit(sample).toArrow()
-    x = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(-1, dim) if got.num_rows else np.ones((1, dim), np.float32)
-    lists = max(1, min(MAX_LISTS, round(n / list_size), len(x) // 4 or 1))
-    x = _unit(x)
-    fitted = fit_centroids(x, lists)
-    # expected length of each list; one that must be long is compared as a grid of blocks in many tasks
-    share = np.bincount(np.concatenate([np.argmax(x[i : i + 4096] @ fitted.T, axis=1) for i in range(0, len(x), 4096)]), minlength=len(fitted)) / len(x)
-    blocks = np.maximum(1, np.ceil(share * n / BLOCK)).astype(np.int64)
-    cents = spark.sparkContext.broadcast((fitted, blocks))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, grid = CentroidGraph(cents.value[0]), cents.value[1]
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part_ = b.slice(i, 1024)
-                m = np.frombuffer(b"".join(part_.column(0).to_pylist()), np.float32).reshape(-1, dim)
-                ids, cos = graph.search(_unit(m), max(visit_most, STORE_MOST))
-                visit = _choose(ids, cos, max(visit_ratio, STORE_RATIO), max(visit_most, STORE_MOST))
-                store = _choose(ids, cos, STORE_RATIO, STORE_MOST)
-                r, c = np.nonzero(visit)
-                b_of = grid[ids[r, c]]
-                mine = np.array([int.from_bytes(v[-4:] + v[:4], "little") for v in part_.column(0).to_pylist()], np.uint64)[r] % b_of.astype(np.uint64)
-                again = np.repeat(np.arange(len(r)), b_of)  # once for each block it must meet
-                other = np.arange(len(again)) - np.repeat(np.cumsum(b_of) - b_of, b_of)
-                own = mine[again].astype(np.int64)
-                cell = np.minimum(own, other) * b_of[again] + np.maximum(own, other)
-                r, c = r[again], c[again]
-                take = pa.array(r)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[r, c], pa.int32()), pa.array(cell, pa.int64()), pa.array(store[r, c]), part_.column(0).take(take), part_.column(1).take(take)], names=["list", "cell", "stored", "vec", "ids"]
-                )
-
-    posted = groups.select("vec", "ids").mapInArrow(post, "list int, cell long, stored boolean, vec binary, ids array<long>")
+    x = _unit(_matrix(got.column(0).to_pylist(), dim)) if got.num_rows else _unit(np.ones((1, dim), np.float32))
+    lists = max(1, round(n / list_size))
+    carry = max(1, len(x) // PER_CENTROID)
+    rules = (visit_ratio, visit_most)
+    if lists <= carry:
+        posted = _post(groups, fit_centroids(x, lists), dim, *rules)
+    else:
+        # so many regions that the lists of one are as many as there are regions, as far as the sample carries them
+        regions = min(carry, math.ceil(math.sqrt(lists)))
+        posted = _post_by_region(groups, fit_centroids(x, regions), dim, list_size, *rules)
+    posted = cut(posted)
+    # lists as they have come out: one that is long is compared as a grid of blocks in many tasks
+    sizes = posted.groupBy("list").count().where(F.col("count") > BLOCK).select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("grid"))
+    posted = posted.join(sizes, "list", "left").withColumn("grid", F.coalesce("grid", F.lit(1)))
+    own_block = F.pmod(F.xxhash64("vec"), F.col("grid"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("grid") - 1), lambda o: F.least(own_block, o.cast("long")) * F.col("grid") + F.greatest(own_block, o.cast("long")))
+    posted = posted.select("list", F.explode(meets).alias("cell"), "stored", "vec", "ids")
     found = posted.groupBy("list", "cell").applyInArrow(_compare_list(k, dim, min_cosine), "id long, near array<struct<c:double,i:long>>")
 
     own = groups.where(F.size("ids") > 1).select(F.explode("ids").alias("id"), "ids").select("id", F.explode(F.slice("ids", 1, keep)).alias("i")).where("id != i")
@@ -240,6 +237,86 @@ def all_neighbours(
     return best.select("id", F.col("x.i").alias("neighbour"), (-F.col("x.c")).alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
+def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
+
+
+POSTING = "list long, stored boolean, vec binary, ids array<long>"
+
+
+def _lookup(graph: CentroidGraph, raw: list[bytes], dim: int, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, centroid, is it stored there) for the lists that each vector visits."""
+    ids, cos = graph.search(_unit(_matrix(raw, dim)), max(most, STORE_MOST))
+    visit = _choose(ids, cos, max(ratio, STORE_RATIO), max(most, STORE_MOST), VISIT_LEAST)
+    store = _choose(ids, cos, STORE_RATIO, STORE_MOST)
+    r, c = np.nonzero(visit)
+    return r, ids[r, c].astype(np.int64), store[r, c]
+
+
+def _post(groups: DataFrame, centroids: np.ndarray, dim: int, ratio: float, most: int) -> DataFrame:
+    """The postings of all vectors; the centroids go to every task, as many as the sample carries."""
+    cents = groups.sparkSession.sparkContext.broadcast(centroids)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = CentroidGraph(cents.value)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                r, c, stored = _lookup(graph, part.column(0).to_pylist(), dim, ratio, most)
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(stored), part.column(0).take(take), part.column(1).take(take)], names=["list", "stored", "vec", "ids"])
+
+    return groups.select("vec", "ids").mapInArrow(post, POSTING)
+
+
+def _post_by_region(groups: DataFrame, regions: np.ndarray, dim: int, list_size: int, ratio: float, most: int) -> DataFrame:
+    """The postings of all vectors where no task could hold the centroids of all lists.
+
+    A vector goes to the few regions that are nearly as near as its nearest. Each region fits its centroids on
+    a sample of the vectors stored there, PER_REGION_CENTROID for each list it needs, and its vectors are looked up by as
+    many tasks as their counted number asks for. Only then do the rules for lists choose among what a
+    vector found in all its regions, without carrying the vectors along.
+    """
+    own = groups.withColumn("gid", F.element_at("ids", 1))
+    routed = cut(_post(own.select("vec", F.array("gid").alias("ids")), regions, dim, ratio, REGION_MOST).select(F.col("list").alias("region"), "stored", F.element_at("ids", 1).alias("gid")))
+    load = routed.groupBy("region").agg(F.count_if("stored").alias("homes"), F.ceil(F.count("*") / REGION_ROWS).cast("int").alias("salts"))
+    load = cut(load.withColumn("wanted", F.greatest(F.lit(1), F.round(F.col("homes") / list_size).cast("int"))))
+    drawn = F.pmod(F.xxhash64("gid"), F.lit(1_000_000)) < F.ceil(1_000_000 * F.least(F.lit(1.0), PER_REGION_CENTROID * F.col("wanted") / F.col("homes")))
+    sampled = routed.where("stored").join(load, "region").where(drawn).select("region", "wanted", "gid").join(own.select("gid", "vec"), "gid")
+
+    def fit(t: pa.Table) -> pa.Table:
+        c = fit_centroids(_unit(_matrix(t.column("vec").to_pylist(), dim)), t.column("wanted")[0].as_py())
+        return pa.table({"region": pa.array([t.column("region")[0].as_py()], pa.int64()), "cents": pa.array([c.astype(np.float32).tobytes()], pa.binary())})
+
+    cents = sampled.groupBy("region").applyInArrow(fit, "region long, cents binary")
+    spread = load.join(cents, "region").select(F.col("region").alias("r"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), "cents")
+    salted = routed.join(load, "region").select("region", F.pmod(F.xxhash64("gid"), F.col("salts").cast("long")).cast("int").alias("salt"), "stored", "gid").join(own.select("gid", "vec"), "gid")
+    schema = pa.schema([("gid", pa.int64()), ("list", pa.int64()), ("far", pa.float32()), ("home", pa.bool_())])
+
+    def look(rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
+        region = rows.column("region")[0].as_py() << 32
+        gid, home = rows.column("gid").to_numpy(), rows.column("stored").to_numpy()
+        if not centroids.num_rows:  # none of its few vectors was drawn: one list
+            return pa.table([pa.array(gid), pa.array(np.full(len(gid), region)), pa.array(np.zeros(len(gid), np.float32)), pa.array(home)], schema=schema)
+        graph = CentroidGraph(np.frombuffer(centroids.column("cents")[0].as_py(), np.float32).reshape(-1, dim))
+        out = []
+        for i in range(0, rows.num_rows, 1024):
+            ids, cos = graph.search(_unit(_matrix(rows.column("vec").slice(i, 1024).to_pylist(), dim)), max(most, STORE_MOST))
+            r, c = np.nonzero(_choose(ids, cos, max(ratio, STORE_RATIO), max(most, STORE_MOST), VISIT_LEAST))
+            far = np.sqrt(np.maximum(0.0, 2 - 2 * cos[r, c]))
+            out.append(pa.table([pa.array(gid[i + r]), pa.array(ids[r, c].astype(np.int64) + region), pa.array(far.astype(np.float32)), pa.array(home[i + r])], schema=schema))
+        return pa.concat_tables(out)
+
+    met = salted.groupBy("region", "salt").cogroup(spread.groupBy("r", "s")).applyInArrow(look, "gid long, list long, far float, home boolean")
+    w = W.partitionBy("gid")
+    met = met.withColumn("least", F.min("far").over(w)).withColumn("place", F.row_number().over(w.orderBy("far", "list")))
+    near = lambda r, m: (F.col("far") <= F.greatest(F.col("least") * r, F.col("least") + 1e-6)) & (F.col("place") <= m)
+    met = met.where(near(max(ratio, STORE_RATIO), max(most, STORE_MOST)) | (F.col("place") <= VISIT_LEAST))
+    return met.select("gid", "list", (near(STORE_RATIO, STORE_MOST) & F.col("home")).alias("stored")).join(own, "gid").select("list", "stored", "vec", "ids")
+
+
 def _compare_list(k: int, dim: int, least: float | None):  # noqa: ANN202
     """The best k of one posting list for each vector in it, in both directions, block by block."""
     schema = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.struct([("c", pa.float64()), ("i", pa.int64())])))])
