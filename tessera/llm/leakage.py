@@ -32,6 +32,8 @@ MIN_WORDS, MAX_EDITS, TEMPLATE_EDITS = 40, 0.1, 0.05
 MIN_TEMPLATE_HITS = 20
 #: Items are looked up in blocks of at most so many words, one pass over the corpus for each block.
 BLOCK_WORDS = 2_000_000
+#: Candidates, and pairs of them, that are broadcast: about 30 MB.
+FEW = 1_000_000
 #: Half the width of a band of diagonals.
 BAND = 12
 
@@ -400,7 +402,10 @@ def _scan(rows: DataFrame, block: list[tuple[int, str]], templates: bool) -> Dat
                 cols = list(zip(*got, strict=True)) if got else [[]] * len(_TYPES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _TYPES, strict=True)], names=[n for n, _ in _TYPES])
 
-    # the texts of the candidates are read again rather than kept; rows repeated with id and text are aligned as often
+    # the texts of the candidates are read again rather than kept; candidates of a counted size go to the texts, others meet them in a shuffle
+    rows_, pairs_ = todo.agg(F.count("*"), F.coalesce(F.sum(F.size("pairs")), F.lit(0))).first()
+    if rows_ + pairs_ <= FEW:
+        todo = F.broadcast(todo)
     spread = keyed.join(todo, ["doc_id", "key"]).select("doc_id", "text", "pairs").repartition(partitions(spark), "doc_id", F.length("text"))
     return spread.mapInArrow(run, RESULT)
 
