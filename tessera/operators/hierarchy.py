@@ -2,7 +2,8 @@
 
 Components are found first, each component is co-located, and one iterative depth-first walk with
 node colouring numbers its nodes. A component above ``max_component`` nodes never meets in one task:
-its nodes are resolved exactly by pointer doubling instead, so the bound moves work but drops nothing.
+its nodes are resolved exactly by pointer doubling instead, and numbered by ranking the list of its Euler
+tour, so the bound moves work but the columns are the same.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tessera.session import blank_to_null, cut
 
@@ -78,8 +80,8 @@ def connected_components(edges: DataFrame, a: str = "child", b: str = "parent")
     )
 
 
-def _walk(pairs: list[tuple[str, str | None]], paths: bool) -> list[tuple]:
-    """Depth-first over one component. pairs: (node, parent or None); a node has at most one parent."""
+def _walk(pairs: list[tuple[str, str | None]], paths: bool) -> Iterator[tuple]:
+    """Depth-first over one component, a row for each node as the walk leaves it. pairs: (node, parent or None); a node has at most one parent."""
     parent = dict(pairs)
     kids: dict[str, list[str]] = {}
     for n, p in parent.items():
@@ -89,7 +91,6 @@ def _walk(pairs: list[tuple[str, str | None]], paths: bool) -> list[tuple]:
     colour = dict.fromkeys(parent, white)
     cycle: dict[str, str] = {}  # node at or below a cycle -> smallest id of the cycle
     loops: set[str] = set()
-    out: list[tuple] = []
     # upward walks colour the nodes and meet a grey node exactly where a back edge closes a cycle
     for start in sorted(parent):
         trail = []
@@ -112,23 +113,20 @@ def _walk(pairs: list[tuple[str, str | None]], paths: bool) -> list[tuple]:
                 cycle[x] = above
     clock = 0
     for root in sorted(n for n, p in parent.items() if p is None):
-        stack = [(root, 0, False)]
+        stack: list[tuple[str, int]] = [(root, -1)]
         way: list[str] = []
-        slot: dict[str, int] = {}
         while stack:
-            n, depth, done = stack.pop()
-            if done:
+            n, entered = stack.pop()
+            if entered >= 0:
+                yield n, parent[n], root, len(way) - 1, list(way) if paths else None, entered, clock - 1, False
                 way.pop()
-                out[slot[n]] = (*out[slot[n]][:6], clock - 1, False)
                 continue
             way.append(n)
-            slot[n] = len(out)
-            out.append((n, parent[n], root, depth, list(way) if paths else None, clock, clock, False))
+            stack.append((n, clock))
             clock += 1
-            stack.append((n, depth, True))
-            stack.extend((k, depth + 1, False) for k in sorted(kids.get(n, ()), reverse=True))
-    out += [(n, parent[n], c, -1, None, None, None, n in loops) for n, c in sorted(cycle.items())]
-    return out
+            stack.extend((k, -1) for k in sorted(kids.get(n, ()), reverse=True))
+    for n, c in sorted(cycle.items()):
+        yield n, parent[n], c, -1, None, None, None, n in loops
 
 
 def hierarchy(df: DataFrame, child: str, parent: str, paths: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
@@ -141,8 +139,7 @@ def hierarchy(df: DataFrame, child: str, parent: str, paths: bool = True, max_co
 
     Null or blank ends drop the row; repeated rows count once; extra columns are ignored; an empty table
     gives no rows. Each node must have at most one distinct parent: of several, the smallest is taken.
-    ``paths=False`` leaves path null. For components above ``max_component`` enter and leave are null and
-    path holds the same values as elsewhere.
+    ``paths=False`` leaves path null. Components above ``max_component`` give the same values in every column.
     """
     edges = cut(edges_of(df, child, parent))
     links = edges.groupBy("child").agg(F.min("parent").alias("parent"))
@@ -167,19 +164,26 @@ def _by_component(nodes: DataFrame, paths: bool) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        current, pairs, out = None, [], []
-        for b in batches:
-            for c, n, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if c != current:
-                    if pairs:
-                        out += _walk(pairs, paths)
-                    current, pairs = c, []
-                    if len(out) > 20_000:
-                        yield flush(out)
-                        out = []
-                pairs.append((n, p))
-        if pairs:
-            out += _walk(pairs, paths)
+        def components() -> Iterator[list[tuple[str, str | None]]]:
+            current, pairs = None, []
+            for b in batches:
+                for c, n, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if c != current:
+                        if pairs:
+                            yield pairs
+                        current, pairs = c, []
+                    pairs.append((n, p))
+            if pairs:
+                yield pairs
+
+        out, size = [], 0
+        for pairs in components():
+            for row in _walk(pairs, paths):
+                out.append(row)
+                size += 1 + len(row[4] or ())
+                if size > 500_000 or len(out) >= 20_000:
+                    yield flush(out)
+                    out, size = [], 0
         yield flush(out)
 
     return nodes.select("component", "node", "parent").repartition("component").sortWithinPartitions("component").mapInArrow(walk, NODES)
@@ -217,8 +221,45 @@ def _by_doubling(nodes: DataFrame, paths: bool) -> DataFrame:
         res = res.join(_paths(links, state.where("done").select("node")), "node", "left")
     else:
         res = res.withColumn("path", F.lit(None).cast("array<string>"))
-    nil = F.lit(None).cast("long")
-    return res.join(links, "node").select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", "depth", "path", nil.alias("enter"), nil.alias("leave"), "on_cycle")
+    tour = cut(_preorder(links.join(ended.select("node"), "node", "left_semi")))
+    # what the tour has left at a root is the size of its tree; roots of components this large are few
+    totals = F.broadcast(ended.where("depth = 0").select("node").join(tour, "node").select(F.col("node").alias("root_id"), F.col("down").alias("total")))
+    res = res.join(tour, "node", "left").join(totals, "root_id", "left")
+    res = res.withColumn("enter", F.col("total") - F.col("down")).withColumn("leave", F.col("enter") + F.col("size") - 1)
+    return res.join(links, "node").select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", "depth", "path", "enter", "leave", "on_cycle")
+
+
+def _next_sibling(links: DataFrame) -> DataFrame:
+    """(node, sibling): the next child of the same parent by id. A range sort, so that the children of one parent may fill many partitions."""
+    ordered = links.where("parent is not null").repartitionByRange("parent", "node").sortWithinPartitions("parent", "node")
+    ordered = cut(ordered.withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    w = W.partitionBy("part").orderBy("at")
+    # what follows the last row of a partition: the first of the next one that has any, one row for each partition
+    heads = ordered.groupBy("part").agg(F.min_by(F.struct("parent", "node"), "at").alias("head"))
+    heads = heads.select("part", F.lead("head").over(W.orderBy("part")).alias("head"))
+    near = ordered.withColumn("after", F.lead(F.struct("parent", "node")).over(w)).join(F.broadcast(heads), "part", "left")
+    after = F.coalesce("after", "head")
+    return near.select("node", F.when(after["parent"] == F.col("parent"), after["node"]).alias("sibling"))
+
+
+def _preorder(links: DataFrame) -> DataFrame:
+    """(node, down, size) of forests of any size: each node is entered and left once in a tour, and pointer doubling ranks the tour.
+
+    Entering a node counts one; down is the number of nodes that the tour has left from there, and size that of the node's subtree.
+    """
+    first = links.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
+    t = links.join(first, "node", "left").join(_next_sibling(links), "node", "left")
+    spot = lambda n, side: F.struct(n.alias("n"), F.lit(side).alias("s"))
+    node, parent, child, sibling = (F.col(c) for c in ("node", "parent", "child", "sibling"))
+    down = F.struct(spot(node, 0).alias("el"), F.when(child.isNotNull(), spot(child, 0)).otherwise(spot(node, 1)).alias("next"), F.lit(1).cast("long").alias("left"))
+    up = F.struct(spot(node, 1).alias("el"), F.when(sibling.isNotNull(), spot(sibling, 0)).when(parent.isNotNull(), spot(parent, 1)).alias("next"), F.lit(0).cast("long").alias("left"))
+    state = cut(t.select(F.explode(F.array(down, up)).alias("x")).select("x.*"))
+    while state.where("next is not null").limit(1).count():
+        o = state.select(F.col("el").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"))
+        more = state.where("next is not null").join(o, "next").select("el", F.col("next2").alias("next"), (F.col("left") + F.col("left2")).alias("left"))
+        state = cut(more.unionByName(state.where("next is null")))
+    at = state.groupBy(F.col("el.n").alias("node")).agg(F.max(F.when(F.col("el.s") == 0, F.col("left"))).alias("down"), F.max(F.when(F.col("el.s") == 1, F.col("left"))).alias("up"))
+    return at.select("node", "down", (F.col("down") - F.col("up")).alias("size"))
 
 
 def _paths(links: DataFrame, keep: DataFrame) -> DataFrame:

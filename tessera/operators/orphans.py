@@ -1,10 +1,10 @@
 """References to keys that do not exist, were deleted, or arrived later.
 
-Parent keys are integers (other keys go through a 64-bit hash, and the text decides in the end). Sorted
-keys are compressed into runs of contiguous keys with equal state; a reference is matched as of the
-preceding run start and is an orphan beyond the run's end. Runs are cut at the borders of fixed key
-buckets, so that the as-of match never looks outside one bucket; buckets that hold many references are
-salted, and their runs, never more than the bucket is wide, are repeated for each salt.
+Keys are integers within buckets: integer keys as they are, ids of text by their dense rank among all ids,
+of parents and of references, that fall into the bucket, so that an id without a parent leaves a gap. Sorted
+parent keys are compressed into runs of contiguous keys of one state; a reference is matched as of the
+preceding run start and is an orphan beyond the run's end. Buckets that hold far more references than
+others are salted, and their parents are repeated for each salt.
 """
 
 from __future__ import annotations
@@ -13,57 +13,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.session import blank_to_null
+from tessera.session import blank_to_null, partitions
 
-#: References of one bucket above this number are spread over salts.
+#: References of one bucket above this number, and above four times what a bucket holds on average, are spread over salts.
 HOT = 100_000
 
 
-def key_runs(parents: DataFrame, key: str, state: list[str], width: int) -> DataFrame:
-    """(bucket, run_start, run_end, *state): contiguous integer keys with equal state as one row.
+def bucket_of(key: Column, width: int) -> Column:
+    """Floor of an integer key / width, for widths that are powers of two also at the ends of the 64-bit range."""
+    if width & (width - 1):
+        raise ValueError("width must be a power of two")
+    return F.shiftright(key, width.bit_length() - 1)
+
+
+def salted(refs: DataFrame, parents: DataFrame, bucket: str, by: list[str], hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``salt``: references of a hot bucket spread by a hash of ``by``, its parents repeated for each salt."""
+    load = refs.groupBy(bucket).agg(F.count("*").alias("__n"))
+    usual = F.broadcast(load.agg(F.avg("__n").alias("__usual")))  # one row
+    load = load.crossJoin(usual).select(bucket, F.ceil(F.col("__n") / F.greatest(F.lit(float(hot)), 4 * F.col("__usual"))).cast("int").alias("__salts")).where("__salts > 1")
+    r = refs.join(load, bucket, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts").cast("long")), F.lit(0)).cast("int")).drop("__salts")
+    p = parents.join(load, bucket, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return r, p
 
-    Keys must be distinct; null keys are dropped. ``width`` is the number of keys in a bucket.
+
+def key_runs(parents: DataFrame, key: str, state: list[str], within: list[str], member: str | None = None) -> DataFrame:
+    """(*within, run_start, run_end, *state): contiguous integer keys with equal state as one row.
+
+    Keys must be distinct within the ``within`` columns; null keys are dropped. ``member`` names a column
+    whose values come out as the array ``members``, in the order of the keys of the run.
     """
-    p = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *state).withColumn("bucket", bucket_of(F.col("k"), width))
-    w = W.partitionBy("bucket").orderBy("k")
+    p = parents.where(F.col(key).isNotNull()).select(*within, F.col(key).alias("k"), *state, *([member] if member else []))
+    w = W.partitionBy(*within).orderBy("k")
     same = F.lag("k").over(w) == F.col("k") - 1
     for s in state:
         same = same & F.lag(s).over(w).eqNullSafe(F.col(s))
     p = p.withColumn("first", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("first").over(w))
-    return p.groupBy("bucket", "run").agg(F.min("k").alias("run_start"), F.max("k").alias("run_end"), *(F.first(s).alias(s) for s in state)).drop("run")
-
-
-def bucket_of(key: Column, width: int) -> Column:
-    """Floor of key / width, for widths that are powers of two also at the ends of the 64-bit range."""
-    if width & (width - 1):
-        raise ValueError("width must be a power of two")
-    return F.shiftright(key, width.bit_length() - 1)
+    kept = [F.transform(F.sort_array(F.collect_list(F.struct("k", F.col(member).alias("m")))), lambda x: x["m"]).alias("members")] if member else []
+    return p.groupBy(*within, "run").agg(F.min("k").alias("run_start"), F.max("k").alias("run_end"), *(F.first(s).alias(s) for s in state), *kept).drop("run")
 
 
-def match_runs(refs: DataFrame, key: str, runs: DataFrame, state: list[str], width: int, hot: int = HOT) -> DataFrame:
-    """refs with the state columns of the run that holds their key, and ``matched``.
+def match_runs(refs: DataFrame, key: str, runs: DataFrame, state: list[str], within: list[str]) -> DataFrame:
+    """refs with the state columns of the run that holds their key, run_start, and ``matched``.
 
     As-of match: runs and references are sorted together by key in their bucket, and each reference takes
     the last run start at or before it. Null keys stay, unmatched. State columns must not be columns of refs.
     """
-    r = refs.withColumn("__k", F.col(key)).withColumn("__bucket", bucket_of(F.col("__k"), width))
-    load = r.groupBy("__bucket").count().where(F.col("count") > hot).select("__bucket", F.ceil(F.col("count") / hot).cast("int").alias("__salts"))
-    r = r.join(load, "__bucket", "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise((F.rand(7) * F.col("__salts")).cast("int"))).drop("__salts")
-    q = runs.withColumnRenamed("bucket", "__bucket").join(load, "__bucket", "left")
-    q = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    payload = [c for c in refs.columns]
-    left = r.select("__bucket", "__salt", "__k", F.lit(1).alias("__side"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in _run_fields(q, state)) + ">").alias("__run"), F.struct(*payload).alias("__ref"))
-    right = q.select("__bucket", "__salt", F.col("run_start").alias("__k"), F.lit(0).alias("__side"), F.struct("run_end", *state).alias("__run"), F.lit(None).cast(left.schema["__ref"].dataType).alias("__ref"))
-    w = W.partitionBy("__bucket", "__salt").orderBy("__k", "__side")
+    state = ["run_start", *state]
+    run = F.struct("run_end", *state)
+    right = runs.select(*within, F.col("run_start").alias("__k"), F.lit(0).alias("__side"), run.alias("__run"))
+    left = refs.select(*within, F.col(key).alias("__k"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema["__run"].dataType).alias("__run"), F.struct(*refs.columns).alias("__ref"))
+    right = right.withColumn("__ref", F.lit(None).cast(left.schema["__ref"].dataType))
+    w = W.partitionBy(*within).orderBy("__k", "__side")
     m = left.unionByName(right).withColumn("__last", F.last("__run", ignorenulls=True).over(w)).where("__side = 1")
     hit = F.col("__last.run_end").isNotNull() & (F.col("__k") <= F.col("__last.run_end"))
     return m.select("__ref.*", F.coalesce(hit, F.lit(False)).alias("matched"), *(F.when(hit, F.col(f"__last.{s}")).alias(s) for s in state))
 
 
-def _run_fields(runs: DataFrame, state: list[str]) -> list:
-    return [runs.schema[c] for c in ("run_end", *state)]
-
-
 def index_state(nodes: DataFrame, project: str | None) -> DataFrame:
     """One row for each key of an index table of versions: is one alive, and when was it first indexed.
 
@@ -79,35 +84,42 @@ def index_state(nodes: DataFrame, project: str | None) -> DataFrame:
     )
 
 
-def _surrogate(proj: str, node: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(proj), F.lit("")), F.col(node))
+def ranked_keys(refs: DataFrame, parents: DataFrame, buckets: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Both sides with bucket, salt and ``k``: the dense rank of (proj, node) among all ids of the bucket, whether parents hold them or not.
 
+    Parents have the columns of ``index_state``, references source_table, ref_id, proj, node, at.
+    """
+    bucket = F.pmod(F.xxhash64(F.coalesce("proj", F.lit("")), "node"), F.lit(buckets)).cast("int")
+    r, p = salted(refs.withColumn("bucket", bucket), parents.withColumn("bucket", bucket), "bucket", ["source_table", "ref_id"], hot)
+    mine = ["source_table", "ref_id", "at"]
+    theirs = ["alive", "first_indexed", "fixed"]
+    both = r.select("bucket", "salt", "proj", "node", *mine, *(F.lit(None).cast(parents.schema[c].dataType).alias(c) for c in theirs), F.lit(1).alias("side")).unionByName(
+        p.select("bucket", "salt", "proj", "node", *(F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in mine), *theirs, F.lit(0).alias("side"))
+    )
+    ranked = both.withColumn("k", F.dense_rank().over(W.partitionBy("bucket", "salt").orderBy("proj", "node")))
+    return ranked.where("side = 1").select("bucket", "salt", "k", *mine), ranked.where("side = 0").select("bucket", "salt", "k", *theirs)
+
+
+def index_runs(keys: DataFrame) -> DataFrame:
+    """The runs of ranked parents of one state: fixed, deleted or alive; members holds when each key was first indexed."""
+    kind = F.when(F.col("fixed"), "fixed").when(~F.col("alive"), "deleted").otherwise("alive")
+    return key_runs(keys.withColumn("kind", kind), "k", ["kind"], ["bucket", "salt"], "first_indexed")
 
-def orphan_references(refs: DataFrame, parents: DataFrame, buckets: int = 1 << 16, hot: int = HOT) -> DataFrame:
+
+def orphan_references(refs: DataFrame, parents: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """References whose target is missing, deleted or late, with the state and the month.
 
     ``refs``: source_table, ref_id, proj (null where keys are node ids alone), node, at. ``parents``: the
-    output of ``index_state``. Columns out: source_table, ref_id, state, period; rows are distinct. A null
-    ``buckets`` cuts the range of the hashed keys; more buckets are smaller windows, and buckets with many
+    output of ``index_state``. Columns out: source_table, ref_id, state, period; rows are distinct. Ids fall
+    into ``buckets`` by hash, four for each shuffle partition by default; buckets with many
     references are salted. A null
     ``at`` is never late and has period ``unknown``; a null node is no reference. A target that is fixed
     (always there) is never an orphan, and neither is any reference to a target that is alive in time.
     """
-    width = 1 << (64 - max(1, buckets).bit_length() + 1)
-    # state per hash: a list, as two keys may share a hash; the text decides below
-    info = F.struct("proj", "node", "alive", "first_indexed", "fixed")
-    p = parents.withColumn("key", _surrogate("proj", "node")).groupBy("key").agg(F.sort_array(F.collect_list(info)).alias("info"))
-    runs = key_runs(p, "key", ["info"], width)
-    r = refs.where("node is not null").withColumn("key", _surrogate("proj", "node"))
-    m = match_runs(r.select("source_table", "ref_id", "proj", "node", "at", "key"), "key", runs, ["info"], width, hot)
-    own = F.filter("info", lambda x: x["node"].eqNullSafe(F.col("node")) & x["proj"].eqNullSafe(F.col("proj")))
-    m = m.withColumn("own", F.when(F.col("matched"), F.try_element_at(own, F.lit(1))))
-    state = (
-        F.when(F.col("own.node").isNull(), "missing")
-        .when(F.col("own.fixed"), None)
-        .when(~F.col("own.alive"), "deleted")
-        .when(F.col("own.first_indexed") > F.col("at"), "late")
-    )
+    r, p = ranked_keys(refs.where("node is not null"), parents, buckets or 4 * partitions(refs.sparkSession), hot)
+    m = match_runs(r, "k", index_runs(p), ["kind", "members"], ["bucket", "salt"])
+    first = F.try_element_at("members", (F.col("k") - F.col("run_start") + 1).cast("int"))
+    state = F.when(~F.col("matched"), "missing").when(F.col("kind") == "deleted", "deleted").when((F.col("kind") == "alive") & (first > F.col("at")), "late")
     period = F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown"))
     return m.select("source_table", "ref_id", state.alias("state"), period.alias("period")).where("state is not null").distinct()
 

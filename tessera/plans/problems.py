@@ -11,7 +11,7 @@ from tessera.session import table
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     refs = hi.inherits_edges(table(spark, d, "node_references"))
-    return hi.hierarchy(refs, "from_node_id", "to_node_id", paths=False).select("node_id", "root_id", "depth")
+    return hi.hierarchy(refs, "from_node_id", "to_node_id").select("node_id", "root_id", "depth")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy as hi
 from tessera.operators import orphans as orp
@@ -43,8 +44,14 @@ CASES["random"] = [(f"r{i}", f"r{_r.randrange(i)}" if _r.random() < 0.97 else f"
 @pytest.mark.parametrize("most", [hi.MAX_COMPONENT, 2])
 def test_hierarchy(spark, name, most):
     df = spark.createDataFrame(CASES[name] + [(None, "a"), ("a", None), (" ", "a")], "child string, parent string")
-    got = {r.node_id: (r.root_id, r.depth, r.path, r.on_cycle) for r in hi.hierarchy(df, "child", "parent", max_component=most).collect()}
-    assert got == brute(CASES[name])
+    rows = hi.hierarchy(df, "child", "parent", max_component=most).collect()
+    assert {r.node_id: (r.root_id, r.depth, r.path, r.on_cycle) for r in rows} == brute(CASES[name])
+    # numbers are those of a walk over sorted children, however large the component
+    for root in {r.root_id for r in rows if r.depth >= 0}:
+        tree = sorted((r for r in rows if r.root_id == root and r.depth >= 0), key=lambda r: r.path)
+        assert [r.enter for r in tree] == list(range(len(tree)))
+        assert [r.leave - r.enter for r in tree] == [sum(x.path[: len(r.path)] == r.path for x in tree) - 1 for r in tree]
+    assert all(r.enter is None and r.leave is None for r in rows if r.depth < 0)
 
 
 def test_hierarchy_numbers_and_descendants(spark):
@@ -60,15 +67,32 @@ def test_hierarchy_numbers_and_descendants(spark):
 
 def test_key_runs_and_matching(spark):
     p = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (5, "x"), (6, "y"), (15, "y"), (16, "y"), (-1, "x"), (None, "x")], "k long, s string")
-    runs = orp.key_runs(p, "k", ["s"], 16)
+    at = lambda df: df.withColumn("bucket", orp.bucket_of(F.col("k"), 16))
+    runs = orp.key_runs(at(p), "k", ["s"], ["bucket"])
     assert sorted((r.run_start, r.run_end, r.s) for r in runs.collect()) == [(-1, -1, "x"), (1, 3, "x"), (5, 5, "x"), (6, 6, "y"), (15, 15, "y"), (16, 16, "y")]
     refs = spark.createDataFrame([(i, k) for i, k in enumerate([0, 1, 3, 4, 5, 6, 7, 16, 17, -1, None] + [3] * 50)], "id int, k long")
-    for hot in (10, 1000):
-        m = {r.id: (r.matched, r.s) for r in orp.match_runs(refs, "k", runs, ["s"], 16, hot).collect()}
+    at = lambda df: df.withColumn("bucket", orp.bucket_of(F.col("k"), 2))
+    runs = orp.key_runs(at(p), "k", ["s"], ["bucket"])
+    for hot in (3, 1000):
+        r, q = orp.salted(at(refs), runs, "bucket", ["id"], hot)
+        assert (q.count() > runs.count()) == (hot == 3)
+        m = {x.id: (x.matched, x.s) for x in orp.match_runs(r, "k", q, ["s"], ["bucket", "salt"]).collect()}
         assert [m[i][0] for i in range(11)] == [False, True, True, False, True, True, False, True, False, True, False]
         assert m[5][1] == "y" and m[0][1] is None and len(m) == 61
 
 
+def test_runs_of_text_ids_hold_several_keys_and_end_at_gaps(spark):
+    parents = spark.createDataFrame([(None, f"n{i:03d}", i % 50 != 7, None, False) for i in range(200) if i % 20 != 3], "proj string, node string, alive boolean, first_indexed timestamp, fixed boolean")
+    refs = spark.createDataFrame([("t", i, None, f"n{i:03d}", None) for i in range(200)] + [("t", 1000 + i, None, "n005", None) for i in range(60)], "source_table string, ref_id long, proj string, node string, at timestamp")
+    for hot in (orp.HOT, 5):
+        r, p = orp.ranked_keys(refs, parents, 2, hot)
+        runs = orp.index_runs(p).collect()
+        assert sum(x.run_end - x.run_start + 1 for x in runs) / len(runs) > 3
+        assert all(len(x.members) == x.run_end - x.run_start + 1 for x in runs)
+        got = {(x.ref_id, x.state) for x in orp.orphan_references(refs, parents, 2, hot).collect()}
+        assert got == {(i, "missing") for i in range(200) if i % 20 == 3} | {(i, "deleted") for i in range(200) if i % 50 == 7 and i % 20 != 3}
+
+
 def test_find_orphans(spark):
     node = "ref_id long, from_package string, to_name string, to_node_id string, kind string, captured_at timestamp"
     from datetime import datetime as dt
