@@ -37,8 +37,8 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share.
 
-    The folder is that of ``spark.checkpoint.dir``; only where nothing is set (tests on one
-    machine) a temporary folder is made.
+    The folder is that of ``spark.checkpoint.dir``; only where nothing is set and the master is local (tests on one
+    machine) a temporary folder is made, on a cluster that is an error.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -48,7 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, made the checkpoint folder of the session where that is not done yet."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
