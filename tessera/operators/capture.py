@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.session import cut
+
 REFERENCES = "id {t}, src string, name string, kind string, alias_of string, owner string"
 
 
@@ -172,17 +174,22 @@ def doc_pages(members: DataFrame, modules: DataFrame, most: int = 8000) -> DataF
     return j.select("module", F.substring(F.concat_ws("\n\n", F.nullif(F.trim("text"), F.lit("")), "body"), 1, most).alias("page"))
 
 
-def flatten_tree(nodes: DataFrame, levels: int = 6) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """(node, module, kind, text) of nodes with text that are no mere structure; module is the nearest module above, else the node.
 
-    nodes (node, parent, kind, text).
+    nodes (node, parent, kind, text). Each round doubles how far up a node has looked, until every node has met
+    a module or the top; nodes whose way up ends in a cycle without one stand for themselves. Of several parents the smallest counts.
     """
-    near = nodes.select("node", F.col("parent").alias("at"), F.when(F.col("kind") == "module", F.col("node")).alias("module"))
-    up = nodes.groupBy(F.col("node").alias("at")).agg(F.min("parent").alias("above"), F.max(F.when(F.col("kind") == "module", F.col("node"))).alias("mod"))
-    for _ in range(levels):
-        near = near.join(up, "at", "left").select("node", F.when(F.coalesce("module", "mod").isNull(), F.col("above")).alias("at"), F.coalesce("module", "mod").alias("module"))
+    own = nodes.groupBy("node").agg(F.min("parent").alias("at"), F.max(F.when(F.col("kind") == "module", F.col("node"))).alias("module"))
+    near = cut(own.withColumn("at", F.when(F.col("module").isNull(), F.col("at"))))
+    for _ in range(max(1, near.count()).bit_length() + 1):
+        if near.where("at is not null").isEmpty():
+            break
+        up = near.select(F.col("node").alias("at"), F.col("at").alias("above"), F.col("module").alias("found"))
+        more = near.where("at is not null").join(up, "at", "left").select("node", "above", "found").toDF("node", "at", "module")
+        near = cut(near.where("at is null").unionByName(more))
     live = nodes.where(~F.col("kind").isin("package", "subpackage") & F.col("text").isNotNull() & (F.trim("text") != ""))
-    return live.select("node", "kind", "text").join(near.select("node", "module").distinct(), "node").select("node", F.coalesce("module", "node").alias("module"), "kind", "text")
+    return live.select("node", "kind", "text").join(near.select("node", "module"), "node").select("node", F.coalesce("module", "node").alias("module"), "kind", "text")
 
 
 def sequenced(events: DataFrame, by: str, order: list[str]) -> DataFrame:

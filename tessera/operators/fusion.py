@@ -128,12 +128,12 @@ def pack_context(nodes: DataFrame, chars: int, ratio: float = 0.5) -> DataFrame:
 ROLLUP = {"class": 0.3, "module": 0.6, "markdown_heading": 0.5}
 
 
-def parent_rollup(hits: DataFrame, tree: DataFrame, thresholds: dict[str, float] = ROLLUP, default: float = 0.5, levels: int = 4) -> DataFrame:
+def parent_rollup(hits: DataFrame, tree: DataFrame, thresholds: dict[str, float] = ROLLUP, default: float = 0.5, levels: int | None = None) -> DataFrame:
     """Hits (qid, node, score) with children replaced by their parent where enough of them were hit.
 
     tree: (node, parent, kind). Deepest parents first: with two or more distinct children hit, and at least
     the threshold's share of all its children, the parent takes their place with the best score. One
-    level is one join and aggregate; ``levels`` is the depth of the tree.
+    level is one join and aggregate; without ``levels`` until no parent takes a place any more.
     """
     kids = tree.where("parent is not null").groupBy("parent").agg(F.count_distinct("node").alias("children"))
     need = F.lit(default)
@@ -142,12 +142,18 @@ def parent_rollup(hits: DataFrame, tree: DataFrame, thresholds: dict[str, float]
     parents = kids.join(tree.select(F.col("node").alias("parent"), "kind").distinct(), "parent", "left").select("parent", "children", need.alias("need"))
     up = tree.where("parent is not null").select("node", "parent").distinct()
     now = hits.groupBy("qid", "node").agg(F.max("score").alias("score")).withColumn("rolled", F.lit(0))
-    for _ in range(levels):
+    done = 0
+    while levels is None or done < levels:
         j = now.join(up, "node", "left").join(parents, "parent", "left")
         w = W.partitionBy("qid", "parent")
         hit = F.count("*").over(w)
         j = j.withColumn("roll", F.coalesce(F.col("parent").isNotNull() & (hit >= 2) & (hit >= F.col("need") * F.col("children")), F.lit(False)))
+        if levels is None:
+            j = cut(j)
+            if j.where("roll").isEmpty():
+                break
         now = j.groupBy("qid", F.when(F.col("roll"), F.col("parent")).otherwise(F.col("node")).alias("node")).agg(F.max("score").alias("score"), F.max(F.when(F.col("roll"), F.col("rolled") + 1).otherwise(F.col("rolled"))).alias("rolled"))
+        done += 1
     return now
 
 

@@ -130,18 +130,24 @@ def _converged(rank: DataFrame, e: DataFrame, n: int, alpha: float, rounds: int,
     return rank.select("node", F.lit(0.0).alias("pagerank"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, community) by label propagation on the undirected graph, in rounds, ties to the smaller label.
 
     In place of a modularity search, which has no distributed form here: each round is one join and two
-    aggregates. Nodes take the label of most of their neighbours and of themselves.
+    aggregates. Nodes take the label of most of their neighbours and of themselves. It ends when no label has
+    changed, or all are those of two rounds before (two sides that swap their labels for ever), at the latest after ``rounds``.
     """
     e = edges.where("dst is not null and src is not null and src != dst").select("src", "dst").distinct()
     both = cut(e.union(e.select("dst", "src")).toDF("node", "other").distinct().unionByName(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("other"))))
-    label = both.select("node").distinct().withColumn("label", F.col("node"))
+    label = cut(both.select("node").distinct().withColumn("label", F.col("node")).withColumn("was", F.lit(None).cast("string")))
     for _ in range(rounds):
         votes = both.join(label.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
-        label = cut(votes.groupBy("node").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label")))
+        new = votes.groupBy("node").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("new"))
+        j = cut(label.join(new, "node"))
+        moved, swung = j.agg(F.count_if(F.col("new") != F.col("label")), F.count_if(~F.col("new").eqNullSafe(F.col("was")))).first()
+        label = j.select("node", F.col("new").alias("label"), F.col("label").alias("was"))
+        if not moved or not swung:
+            break
     return label.select("node", F.col("label").alias("community"))
 
 

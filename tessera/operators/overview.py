@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions.text import parents
-from tessera.operators.files import lines
+from tessera.session import cut
 
 
 def lookup(targets: DataFrame, known: DataFrame) -> DataFrame:
@@ -53,31 +53,6 @@ def embed_tier(package: Column, policy: dict[str, str], default: str = "full") -
     return out
 
 
-# States of a decision record and the words that name them.
-STATUS = {"accepted": "active", "approved": "active", "proposed": "proposed", "draft": "proposed", "rejected": "rejected", "declined": "rejected", "superseded": "superseded", "deprecated": "deprecated"}
-
-
-def decision_records(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, title, status, confidence) of documents with a status line; the title is their first heading."""
-    body = F.regexp_replace(text, "\r\n?", "\n")
-    word = F.lower(F.regexp_extract(body, r"(?im)^\s*(?:[-*]\s*)?\**status\**\s*[:=]\s*\**\s*([A-Za-z]+)", 1))
-    status = F.lit(None).cast("string")
-    for k, v in STATUS.items():
-        status = F.when(word == k, v).otherwise(status)
-    d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.nullif(F.trim(F.regexp_extract(body, r"(?m)^#\s+(.+)$", 1)), F.lit("")).alias("title"), status.alias("status"))
-    return d.where("status is not null").withColumn("confidence", F.lit(1.0))
-
-
-def changelog_entries(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, version, entries): list items under headings that are version numbers."""
-    l = lines(docs.withColumn(text, F.regexp_replace(text, "\r\n?", "\n")), id_col, text)
-    head = F.regexp_extract("line", r"^#{1,3}\s+v?(\d+\.\d+(?:\.\d+)?)\s*$", 1)
-    any_head = F.col("line").rlike(r"^#{1,3}\s")
-    w = W.partitionBy("id").orderBy("line_no")
-    l = l.withColumn("h", F.when(any_head, head)).withColumn("version", F.last("h", ignorenulls=True).over(w))
-    return l.where((F.col("version") != "") & F.col("line").rlike(r"^\s*[-*]\s+\S")).groupBy("id", "version").agg(F.count("*").alias("entries"))
-
-
 def decision_cards(decisions: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, found, decisions): decisions of a target, or of its nearest parent that has any."""
     up = targets.select("target", F.explode(parents("target")).alias("node"))
@@ -97,27 +72,34 @@ def apply_picks(candidates: DataFrame, picks: DataFrame) -> DataFrame:
     return j.select("qid", "id", "new_rank", F.round(1 - (F.col("new_rank") - 1) / F.count("*").over(w), 9).alias("score"))
 
 
-def prune_tree(tree: DataFrame, keep: DataFrame, levels: int = 12) -> DataFrame:
-    """Rows of (node, parent) whose node is kept or lies above a kept one."""
-    live = keep.select("node").distinct()
-    front = live
+def prune_tree(tree: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of (node, parent) whose node is kept or lies above a kept one, however far; a node met again is not walked again."""
     up = tree.select("node", "parent").where("parent is not null").distinct()
-    for _ in range(levels):
-        front = front.join(up, "node").select(F.col("parent").alias("node")).distinct()
-        live = live.unionByName(front)
-    return tree.join(live.distinct(), "node", "left_semi")
+    live = cut(keep.select("node").distinct())
+    front = live
+    while True:
+        front = cut(front.join(up, "node").select(F.col("parent").alias("node")).distinct().join(live, "node", "left_anti"))
+        if front.isEmpty():
+            return tree.join(live, "node", "left_semi")
+        live = cut(live.unionByName(front))
 
 
-def node_budget(tree: DataFrame, budget: int, levels: int = 12) -> DataFrame:
-    """(node, level, at): the first nodes of a breadth-first walk, siblings by name."""
-    level = tree.where("parent is null").select("node", F.lit(0).alias("level"), F.col("node").alias("key"))
-    out = level
+def node_budget(tree: DataFrame, budget: int) -> DataFrame:
+    """(node, level, at): the first ``budget`` nodes of a breadth-first walk, siblings by name.
+
+    The walk goes down until no node is new or the levels above already hold enough; nodes below a cycle have no level.
+    """
     kids = tree.where("parent is not null").select(F.col("node").alias("kid"), F.col("parent").alias("node")).distinct()
-    for i in range(1, levels + 1):
-        level = level.select("node").join(kids, "node").select(F.col("kid").alias("node"), F.lit(i).alias("level"), F.col("kid").alias("key"))
-        out = out.unionByName(level)
-    one = out.groupBy("node").agg(F.min("level").alias("level"))
-    top = one.orderBy("level", "node").limit(budget)
+    out = cut(tree.where("parent is null").select("node", F.lit(0).alias("level")).distinct())
+    level = out
+    i = 0
+    while out.limit(budget).count() < budget:
+        i += 1
+        level = cut(level.select("node").join(kids, "node").select(F.col("kid").alias("node"), F.lit(i).alias("level")).distinct().join(out.select("node"), "node", "left_anti"))
+        if level.isEmpty():
+            break
+        out = cut(out.unionByName(level))
+    top = out.orderBy("level", "node").limit(budget)
     return top.withColumn("at", F.row_number().over(W.partitionBy().orderBy("level", "node")))
 
 

@@ -587,46 +587,6 @@ def missing_vectors(spark, d):  # noqa: ANN001, ANN201
 
 # decisions
 
-_KW = "len(list_filter([" + ", ".join(f"'{k}'" for k in decisions.KEYWORDS) + "], lambda k: contains(lower(body), k)))"
-_TOK = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), lambda w: NOT list_contains([" + ", ".join(f"'{k}'" for k in decisions.STOPWORDS) + "], w))"
-_DISTINCT = "list_transform(list_sort(list_transform(list_distinct({0}), lambda x: {{'at': list_position({0}, x), 'x': x}})), lambda s: s.x)"
-
-
-@query(f"""WITH p AS (SELECT doc_id AS id, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS paragraph, unnest(b) AS body FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), E'\\r\\n?', E'\\n', 'g'), E'\\n\\n+') AS b FROM documents)),
-k AS (SELECT id, paragraph, CAST({_KW} AS INTEGER) AS keywords, CAST(len(string_split(body, E'\\n')) AS INTEGER) AS body_lines FROM p) SELECT * FROM k WHERE keywords >= 2 OR (keywords = 1 AND body_lines >= 3)""")
-def keyword_gate(spark, d):  # noqa: ANN001, ANN201
-    return decisions.keyword_gate(table(spark, d, "documents"))
-
-
-@query(f"""WITH t AS (SELECT id, {_TOK.format('title')} AS w FROM chunks), k AS (SELECT id, array_to_string({_DISTINCT.format('w')}, '-') AS title_key FROM t)
-SELECT title_key, min(id) AS first_id, count(*) AS members, round(least(1.0, 0.7::DOUBLE + 0.05::DOUBLE * (count(*) - 1)), 6) AS confidence FROM k WHERE title_key <> '' GROUP BY 1""")
-def title_groups(spark, d):  # noqa: ANN001, ANN201
-    return decisions.title_groups(table(spark, d, "chunks"))
-
-
-@query(f"""WITH t AS (SELECT name, {_TOK.format('summary')} AS w FROM packages), s AS (SELECT list_sort(list_distinct(w)) AS w, min(name) AS rep FROM t WHERE len(w) > 0 GROUP BY 1)
-SELECT x.rep AS a, y.rep AS b, round(CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) / len(list_distinct(list_concat(x.w, y.w))), 6) AS overlap FROM s x JOIN s y ON x.rep < y.rep WHERE overlap >= 0.5""")
-def title_jaccard(spark, d):  # noqa: ANN001, ANN201
-    return decisions.similar_titles(table(spark, d, "packages"), 0.5, "name", "summary")
-
-
-@query(f"""SELECT package, round(least(1.0, 0.7::DOUBLE * count(*) FILTER (late) / count(*) + 0.3::DOUBLE * least(1.0, max(age) / 365.25)), 6) AS staleness FROM (
-SELECT package, indexed_at > captured_at + INTERVAL 1 DAY AS late, epoch(TIMESTAMP '{NOW}' - captured_at) / 86400.0 AS age FROM chunks WHERE captured_at IS NOT NULL AND indexed_at IS NOT NULL) GROUP BY package""")
-def staleness(spark, d):  # noqa: ANN001, ANN201
-    c = table(spark, d, "chunks").where("captured_at is not null and indexed_at is not null").select("package", F.col("captured_at").cast("timestamp").alias("c"), F.col("indexed_at").cast("timestamp").alias("i"))
-    age = (F.to_timestamp(F.lit(NOW)).cast("double") - F.col("c").cast("double")) / 86400
-    g = c.groupBy("package").agg(F.sum(F.when(F.col("i") > F.col("c") + F.expr("interval 1 day"), 1).otherwise(0)).alias("late"), F.count("*").alias("n"), F.max(age).alias("age"))
-    return g.select("package", decisions.staleness(F.col("late"), F.col("n"), F.col("age")).alias("staleness"))
-
-
-@query(f"""WITH c AS (SELECT name AS id, list_distinct({_TOK.format('summary')}) AS c FROM packages WHERE summary IS NOT NULL), s AS (SELECT package AS id, list_distinct({_TOK.format('text')}) AS s FROM chunks),
-j AS (SELECT c.id, CASE WHEN len(c) > 0 THEN CAST(len(list_intersect(c, coalesce(s, []))) AS DOUBLE) / len(c) ELSE 0.0 END AS o FROM c LEFT JOIN s USING (id))
-SELECT id, round(max(o), 6) AS overlap, round(max(o), 6) >= 0.6 AS verified FROM j GROUP BY id""")
-def grounding_overlap(spark, d):  # noqa: ANN001, ANN201
-    c = table(spark, d, "packages").where("summary is not null").select(F.col("name").alias("id"), F.col("summary").alias("claim"))
-    return decisions.grounding(c, table(spark, d, "chunks").select(F.col("package").alias("id"), F.col("text").alias("span")))
-
-
 @query("SELECT kind, origin, count(*) AS n FROM chunks GROUP BY ALL")
 def census_by_kind(spark, d):  # noqa: ANN001, ANN201
     return decisions.census(table(spark, d, "chunks"), "kind", "origin")

@@ -50,22 +50,6 @@ def embed_policy(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "chunks").where("package is not null").select("id", overview.embed_tier(F.col("package"), {"larchmill": "none", "larch*": "doc_pages", "*port": "none"}).alias("tier"))
 
 
-@query(r"""WITH b AS (SELECT doc_id AS id, regexp_replace(text, E'\r\n?', E'\n', 'g') AS t FROM documents WHERE text IS NOT NULL),
-w AS (SELECT id, nullif(trim(regexp_extract(t, '(?m)^#\s+(.+)$', 1)), '') AS title, lower(regexp_extract(t, '(?im)^\s*(?:[-*]\s*)?\**status\**\s*[:=]\s*\**\s*([A-Za-z]+)', 1)) AS s FROM b)
-SELECT id, title, CASE s WHEN 'accepted' THEN 'active' WHEN 'approved' THEN 'active' WHEN 'proposed' THEN 'proposed' WHEN 'draft' THEN 'proposed' WHEN 'rejected' THEN 'rejected' WHEN 'declined' THEN 'rejected' ELSE s END AS status, 1.0::DOUBLE AS confidence FROM w
-WHERE s IN ('accepted', 'approved', 'proposed', 'draft', 'rejected', 'declined', 'superseded', 'deprecated')""")
-def decision_records(spark, d):  # noqa: ANN001, ANN201
-    return overview.decision_records(table(spark, d, "documents"))
-
-
-@query(r"""WITH l AS (SELECT doc_id AS id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, E'\r\n?', E'\n', 'g'), E'\n') AS l FROM documents WHERE text IS NOT NULL AND NOT contains(left(text, 8192), chr(0)))),
-h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,3}\s') THEN regexp_extract(line, '^#{1,3}\s+v?(\d+\.\d+(?:\.\d+)?)\s*$', 1) END AS h FROM l),
-v AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY id ORDER BY n) AS version FROM h)
-SELECT id, version, count(*) AS entries FROM v WHERE version <> '' AND regexp_matches(line, '^\s*[-*]\s+\S') GROUP BY 1, 2""")
-def changelog_entries(spark, d):  # noqa: ANN001, ANN201
-    return overview.changelog_entries(table(spark, d, "documents"))
-
-
 @query(f"""WITH {_E}, g AS (SELECT DISTINCT regexp_replace(src, '^decision:', '') AS decision, dst AS node FROM e WHERE kind = 'governs' AND dst IS NOT NULL),
 t AS (SELECT DISTINCT {_T.format('node_id')} AS target FROM tree_nodes WHERE kind = 'method'), n AS (SELECT node, count(DISTINCT decision) AS k FROM g GROUP BY 1)
 SELECT target, arg_max(node, length(node)) AS found, arg_max(k, length(node)) AS decisions FROM t JOIN n ON target = node OR starts_with(target, node || '.') GROUP BY 1""")
@@ -93,13 +77,13 @@ def _tree(spark, d):  # noqa: ANN001, ANN202
 SELECT node, parent FROM t WHERE node IN (SELECT node FROM k)""")
 def prune_tree(spark, d):  # noqa: ANN001, ANN201
     keep = _edges(spark, d).where("kind = 'inherits' and dst is not null").select(F.col("dst").alias("node"))
-    return overview.prune_tree(_tree(spark, d), keep, 5)
+    return overview.prune_tree(_tree(spark, d), keep)
 
 
-@query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT node, 0 AS level FROM t WHERE parent IS NULL UNION SELECT t.node, w.level + 1 FROM w JOIN t ON t.parent = w.node WHERE w.level < 4), o AS (SELECT node, min(level) AS level FROM w GROUP BY 1)
+@query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT node, 0 AS level FROM t WHERE parent IS NULL UNION SELECT t.node, w.level + 1 FROM w JOIN t ON t.parent = w.node), o AS (SELECT node, min(level) AS level FROM w GROUP BY 1)
 SELECT node, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (ORDER BY level, node) AS INTEGER) AS "at" FROM o QUALIFY row_number() OVER (ORDER BY level, node) <= 300""")
 def node_budget(spark, d):  # noqa: ANN001, ANN201
-    return overview.node_budget(_tree(spark, d), 300, 4)
+    return overview.node_budget(_tree(spark, d), 300)
 
 
 @query("""WITH e AS (SELECT user_id AS "by", props AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), g AS (SELECT DISTINCT user_id AS "by", props AS file FROM events WHERE event_type = 'purchase'),
@@ -171,11 +155,11 @@ def dependency_doc_pages(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"""WITH RECURSIVE n AS (SELECT DISTINCT {_T.format('node_id')} AS node, {_T.format('parent_id')} AS parent, kind, text FROM tree_nodes WHERE node_id IS NOT NULL),
 up AS (SELECT node, min(parent) AS above, max(CASE WHEN kind = 'module' THEN node END) AS mod FROM n GROUP BY 1),
-w AS (SELECT node, parent AS at, CASE WHEN kind = 'module' THEN node END AS module, 0 AS i FROM n UNION SELECT w.node, CASE WHEN coalesce(module, mod) IS NULL THEN above END, coalesce(module, mod), i + 1 FROM w LEFT JOIN up ON up.node = w.at WHERE i < 4)
-SELECT l.node, coalesce(w.module, l.node) AS module, kind, text FROM n l JOIN (SELECT DISTINCT node, module FROM w WHERE i = 4) w ON w.node = l.node WHERE kind NOT IN ('package', 'subpackage') AND text IS NOT NULL AND trim(text, ' ') <> ''""")
+w AS (SELECT node, CASE WHEN mod IS NULL THEN above END AS spot, mod AS module FROM up UNION SELECT w.node, CASE WHEN up.mod IS NULL THEN up.above END, up.mod FROM w LEFT JOIN up ON up.node = w.spot WHERE w.spot IS NOT NULL)
+SELECT l.node, coalesce(w.module, l.node) AS module, kind, text FROM n l JOIN (SELECT node, module FROM w WHERE spot IS NULL) w ON w.node = l.node WHERE kind NOT IN ('package', 'subpackage') AND text IS NOT NULL AND trim(text, ' ') <> ''""")
 def flatten_tree(spark, d):  # noqa: ANN001, ANN201
     n = table(spark, d, "tree_nodes").select(blank_to_null("node_id").alias("node"), blank_to_null("parent_id").alias("parent"), "kind", "text").where("node is not null").distinct()
-    return capture.flatten_tree(n, 4)
+    return capture.flatten_tree(n)
 
 
 @query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS seq FROM events")
@@ -195,11 +179,6 @@ def resolve_rules(spark, d):  # noqa: ANN001, ANN201
     return capture.resolve(r, _nodes(spark, d))
 
 
-@query()
-def merge_titles_greedy(spark, d):  # noqa: ANN001, ANN201
-    return decisions.greedy_groups(table(spark, d, "chunks").where("title is not null and package is not null"), "package", "id")
-
-
 @query(f"""WITH {_E}, r AS (SELECT package, count(*) AS refs, count(dst) AS resolved FROM e WHERE kind = 'calls' GROUP BY 1)
 SELECT package, refs, resolved, round(resolved::DOUBLE / refs, 6) AS rate FROM r""")
 def resolution_rate(spark, d):  # noqa: ANN001, ANN201
