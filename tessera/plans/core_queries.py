@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, decisions, evaluation, files, filters, fusion, graph, incremental, retrieval
-from tessera.session import blank_to_null, table
+from tessera.operators import chunking, decisions, evaluation, files, filters, fusion, graph, incremental, lexical, retrieval
+from tessera.session import blank_to_null, shared_folder, table
 from tessera.streaming import events as stream
 
 QUERIES: dict = {}
@@ -56,6 +57,36 @@ def bm25_topk(spark, d):  # noqa: ANN001, ANN201
     return _bm25(spark, d)
 
 
+def _text() -> Column:
+    return F.concat_ws("\n", "title", "text")
+
+
+@query(SQL["bm25_topk"])
+def bm25_stored(spark, d):  # noqa: ANN001, ANN201
+    """The same over an index that was written to the shared folder and read again."""
+    path = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+    lexical.build_index(table(spark, d, "chunks"), "id", _text()).write(path)
+    return lexical.search(lexical.LexicalIndex.read(spark, path), table(spark, d, "packages"), "name", "summary")
+
+
+@query(f"""WITH {_BM25}, e AS (SELECT qid, w[1] AS a, w[2] AS b, w[3] AS c, w[4] AS d FROM (SELECT name AS qid, regexp_extract_all(lower(coalesce(summary, '')), '[a-z0-9]+') AS w FROM packages) WHERE len(w) >= 4),
+t AS (SELECT DISTINCT qid, unnest([a, b, c]) AS term FROM e), h AS (SELECT t.qid, w.id, sum(part) AS score FROM t JOIN w USING (term) GROUP BY 1, 2),
+ok AS (SELECT h.qid, h.id, round(h.score, 6) AS score FROM h JOIN e USING (qid) JOIN docs USING (id) WHERE (list_contains(toks, a) AND list_contains(toks, b)) OR (list_contains(toks, c) AND NOT list_contains(toks, d)))
+{_top('SELECT * FROM ok', 10)}""")
+def bm25_match(spark, d):  # noqa: ANN001, ANN201
+    w = F.regexp_extract_all(F.lower(F.coalesce("summary", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    q = table(spark, d, "packages").select(F.col("name").alias("qid"), w.alias("w")).where("size(w) >= 4")
+    q = q.select("qid", F.concat_ws(" ", F.get("w", F.lit(0)), F.lit("AND"), F.get("w", F.lit(1)), F.lit("OR"), F.get("w", F.lit(2)), F.lit("NOT"), F.get("w", F.lit(3))).alias("terms"))
+    index = lexical.build_index(table(spark, d, "chunks"), "id", _text(), None, q.select(F.explode(tx.tokens("terms")).alias("term")))
+    return lexical.match(index, q, "qid", "terms")
+
+
+@query()
+def bm25_stemmed(spark, d):  # noqa: ANN001, ANN201
+    index = lexical.build_index(table(spark, d, "chunks"), "id", _text(), stemmed=True)
+    return lexical.match(index, table(spark, d, "packages"), "name", "summary")
+
+
 _DEPS = "package <> '__project__'"
 
 
@@ -184,14 +215,19 @@ def maxsim_rescore(spark, d):  # noqa: ANN001, ANN201
 @query(f"WITH {_VEC} {_top('SELECT qid, id, round(list_dot_product(qe, e), 6) AS score FROM v, q WHERE id <> qid AND label = ql', 5)}")
 def similar_edges_knn(spark, d):  # noqa: ANN001, ANN201
     v, q = _vectors(spark, d)
-    from tessera.functions.vector import dot
-
-    j = v.join(F.broadcast(q.select("qid", F.col("embedding").alias("qe"), F.col("ql").alias("label"))), "label").where("id != qid")
-    return retrieval.top_k(j.select("qid", "id", F.round(dot("qe", "embedding"), 6).alias("score")), 5, "qid", [F.desc("score"), F.asc("id")])
+    return retrieval.similar_edges(v, q, 5, same=("label", "ql"))
 
 
 # fusion
 
+
+def _two_branches(spark: SparkSession, d: str) -> list[DataFrame]:
+    """All chunks and those of dependencies, from one index."""
+    q = table(spark, d, "packages").select("name", "summary")
+    index = lexical.build_index(table(spark, d, "chunks"), "id", _text(), {"ok": filters.scope_column({"dependencies_only"})}, q.select(F.explode(tx.tokens("summary")).alias("term")))
+    return [lexical.search(index, q, "name", "summary", 20), lexical.search(index, q, "name", "summary", 20, F.col("ok"))]
+
+
 _BR = f"""WITH {_BM25}, a AS ({_top(_hits('true'), 20)}), b AS ({_top(_hits(_DEPS), 20)})"""
 
 
@@ -199,7 +235,7 @@ _BR = f"""WITH {_BM25}, a AS ({_top(_hits('true'), 20)}), b AS ({_top(_hits(_DEP
 s AS (SELECT qid, id, round(sum(1.0 / (60 + rank - 1)), 9) AS score, min(branch * 1000 + rank) AS seen FROM u GROUP BY qid, id)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, id) AS INTEGER) AS rank FROM s""")
 def rrf_fusion(spark, d):  # noqa: ANN001, ANN201
-    return fusion.rrf([_bm25(spark, d, 20), _bm25(spark, d, 20, filters.scope_column({"dependencies_only"}))])
+    return fusion.rrf(_two_branches(spark, d))
 
 
 @query(f"""{_BR}, u AS (SELECT qid, id, score, 0 AS branch, 0.3 AS w FROM a UNION ALL SELECT qid, id, score, 1, 0.7 FROM b),
@@ -207,7 +243,7 @@ n AS (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi FROM u WINDOW p
 s AS (SELECT qid, id, round(sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END * CAST(w AS DOUBLE)), 9) AS score FROM n GROUP BY qid, id)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM s""")
 def weighted_fusion(spark, d):  # noqa: ANN001, ANN201
-    return fusion.weighted([_bm25(spark, d, 20), _bm25(spark, d, 20, filters.scope_column({"dependencies_only"}))], [0.3, 0.7])
+    return fusion.weighted(_two_branches(spark, d), [0.3, 0.7])
 
 
 @query("""WITH x AS (SELECT coalesce(origin, '') AS qid, qualified_name, id, package = '__project__' AS is_root, indexed_at, CAST(relevance AS DOUBLE) AS score FROM chunks WHERE relevance IS NOT NULL AND qualified_name IS NOT NULL),

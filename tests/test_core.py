@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, evaluation, filters, fusion, graph, incremental, retrieval
+from tessera.operators import chunking, evaluation, filters, fusion, graph, incremental, lexical, retrieval
 from tessera.plans import core_queries, pipeline
 from tessera.sources import files as src
 
@@ -193,11 +193,60 @@ def test_filters_and_scope(spark):
         filters.check(rest, {"name"})
 
 
-def test_match_builder(spark):
-    df = spark.createDataFrame([(["red", "fox"],), (["fox"],), (["red", "cat"],)], "toks array<string>")
-    n = lambda q: df.where(retrieval.boolean_match(q, F.col("toks"))).count()
-    assert (n("red AND fox"), n("red NOT fox"), n("red fox"), n("AND red"), n("red-fox")) == (1, 1, 3, 2, 1)
-    assert retrieval.boolean_match("a b", F.col("toks")) is None
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("batch inference", [["batch"], ["inference"]]),
+        ("a b", []),
+        ("", []),
+        (None, []),
+        ("AND gate implementation", [["and"], ["gate"], ["implementation"]]),
+        ("x OR", [["or"]]),
+        ("Problem: x OR y", [["problem"], ["or"]]),
+        ("red AND green OR blue", [["red", "green"], ["blue"]]),
+        ("red green OR blue", [["red", "green"], ["blue"]]),
+        ("red NOT green", [["red", "-green"]]),
+        ("red NOT green blue", [["red", "-green"], ["red", "-blue"]]),
+        ("red OR NOT blue", [["red"], ["or"], ["not"], ["blue"]]),
+        ('say "shift"', [["say"], ["shift"]]),
+        ("pkg.mod x", [["pkg", "mod"]]),
+    ],
+)
+def test_match_grammar(text, want):
+    assert [["-" * absent + t for t, absent in c] for c in lexical.match_clauses(text)] == want
+
+
+def test_lexical_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red green red"), (2, "green"), (3, "red blue"), (4, None), (5, "Greens and reds")], "id long, text string")
+    q = spark.createDataFrame([("a", "red AND green"), ("b", "red NOT green"), ("c", "blue OR greens"), ("d", "x")], "qid string, terms string")
+    got = lambda ix: {(r.qid, r.id) for r in lexical.match(ix, q, "qid", "terms").collect()}
+    index = lexical.build_index(docs, "id", F.col("text"))
+    assert (index.documents, index.mean_length) == (5, 9 / 5)
+    assert {(r.id, r.term): r.tf for r in index.postings.collect()}[1, "red"] == 2
+    index.write(str(tmp_path / "ix"))
+    for ix in (index, lexical.LexicalIndex.read(spark, str(tmp_path / "ix"))):
+        assert got(ix) == {("a", 1), ("b", 3), ("c", 3), ("c", 5)}
+    assert got(lexical.build_index(docs, "id", F.col("text"), stemmed=True)) == {("a", 1), ("a", 5), ("b", 3), ("c", 1), ("c", 2), ("c", 3), ("c", 5)}
+    assert lexical.build_index(docs.limit(0), "id", F.col("text")).documents == 0
+
+
+def test_literal_and_dense_search_in_blocks(spark, monkeypatch):
+    m = spark.createDataFrame([(i, f"Name{i % 7}", None if i % 3 else f"doc {i}") for i in range(60)], "id long, name string, docstring string")
+    n = spark.createDataFrame([("a", "NAME3"), ("b", "doc 1"), ("c", "name3"), ("d", " "), ("e", None), ("f", "e")], "qid string, needle string")
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)] + [(100, None), (101, [1.0])], "id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [0.0, 0.0, 1.0]), (3, [2.0]), (4, None)], "qid long, embedding array<float>")
+    seen = []
+    for chars, numbers in ((5_000_000, 8_000_000), (1, 1)):
+        monkeypatch.setattr(retrieval, "NEEDLE_CHARS", chars)
+        monkeypatch.setattr(retrieval, "QUERY_NUMBERS", numbers)
+        like = sorted(tuple(r) for r in retrieval.like_search(m, n, "qid", "needle", 4).collect())
+        near = sorted(tuple(r) for r in retrieval.dense(v, q, 3).collect())
+        seen.append((like, near))
+    assert seen[0] == seen[1]
+    assert [r for r in seen[0][0] if r[0] == "a"] == [("a", 3, 1), ("a", 10, 2), ("a", 17, 3), ("a", 24, 4)]
+    assert {r[0] for r in seen[0][0]} == {"a", "b", "c", "f"}
+    assert [r[:3] for r in seen[0][1] if r[0] == 2] == [(2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
+    assert [r for r in seen[0][1] if r[0] == 3] == [(3, 101, 2.0, 1)]
 
 
 @pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("controlling", "control"), ("generalization", "gener"), ("sky", "sky"), ("agreed", "agre")])
