@@ -16,24 +16,26 @@ from tessera.session import cut
 REFERENCES = "id {t}, src string, name string, kind string, alias_of string, owner string"
 
 
-def references(df: DataFrame, id_col: str = "id", text: str = "text", module: str = "module") -> DataFrame:
+def references(df: DataFrame, id_col: str = "id", text: str = "text", module: str = "module", package: str | None = None) -> DataFrame:
     """(id, src, name, kind, alias_of, owner): calls, imports and bases of source texts, by syntax tree.
 
     src is the enclosing symbol under its module. alias_of is what the first segment of a name was imported
-    as; for ``self.x.y`` owner is the class that ``self.x`` was assigned in the same class. A text that does
-    not parse gives nothing.
+    as; for ``self.x.y`` owner is the class that ``self.x`` was assigned or annotated in the same class. Relative
+    imports are named from the module's package; one that climbs past the root keeps its own name. ``package`` may name a
+    boolean column that says of a module that it is a package. A text that does not parse gives nothing.
     """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(module).alias("module"), F.col(text).alias("text"))
+    is_package = F.col(package) if package else F.lit(False)
+    rows = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(module).alias("module"), F.col(text).alias("text"), is_package.alias("package"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out: list[tuple] = []
-            for i, mod, src in zip(pdf["id"], pdf["module"], pdf["text"], strict=True):
+            for i, mod, src, pkg in zip(pdf["id"], pdf["module"], pdf["text"], pdf["package"], strict=True):
                 try:
                     tree = ast.parse(src)
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
                     continue
-                out += [(i, *r) for r in _capture(tree, mod or "")]
+                out += [(i, *r) for r in _capture(tree, mod or "", bool(pkg))]
             yield pd.DataFrame(out, columns=["id", "src", "name", "kind", "alias_of", "owner"])
 
     return rows.mapInPandas(run, REFERENCES.format(t=dict(rows.dtypes)["id"]))
@@ -48,21 +50,34 @@ def _name(n: ast.AST) -> str | None:
     return None
 
 
-def _aliases(tree: ast.AST) -> dict[str, str]:
+def _base(n: ast.ImportFrom, module: str, package: bool) -> str:
+    """What the names of a from-import hang under: a package counts as the first level above itself."""
+    up = max(0, n.level - package)
+    parts = module.split(".") if module else []
+    if not n.level or up > len(parts):
+        return n.module or ""
+    return ".".join([*parts[: len(parts) - up], *([n.module] if n.module else [])])
+
+
+def _aliases(tree: ast.AST, module: str, package: bool) -> dict[str, str]:
     out: dict[str, str] = {}
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             for a in n.names:
                 out[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
-        elif isinstance(n, ast.ImportFrom) and n.module and not n.level:
+        elif isinstance(n, ast.ImportFrom):
+            base = _base(n, module, package)
             for a in n.names:
-                out[a.asname or a.name] = f"{n.module}.{a.name}"
+                out[a.asname or a.name] = f"{base}.{a.name}" if base else a.name
     return out
 
 
 def _attributes(cls: ast.ClassDef) -> dict[str, str]:
-    """Attributes of self that are assigned a call or annotated: their class."""
+    """Attributes that the class body annotates, and those of self that are assigned a call or annotated: their class."""
     out: dict[str, str] = {}
+    for n in cls.body:
+        if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and (v := _name(n.annotation)):
+            out.setdefault(n.target.id, v)
     for n in ast.walk(cls):
         target, value = None, None
         if isinstance(n, ast.Assign) and len(n.targets) == 1:
@@ -74,8 +89,8 @@ def _attributes(cls: ast.ClassDef) -> dict[str, str]:
     return out
 
 
-def _capture(tree: ast.Module, module: str) -> list[tuple]:
-    alias = _aliases(tree)
+def _capture(tree: ast.Module, module: str, package: bool = False) -> list[tuple]:
+    alias = _aliases(tree, module, package)
     out: set[tuple] = set()
 
     def put(src: str, name: str | None, kind: str, owners: dict[str, str]) -> None:
@@ -103,9 +118,10 @@ def _capture(tree: ast.Module, module: str) -> list[tuple]:
                 elif isinstance(n, ast.Import):
                     for a in n.names:
                         put(src, a.name, "imports", {})
-                elif isinstance(n, ast.ImportFrom) and n.module:
+                elif isinstance(n, ast.ImportFrom):
+                    base = _base(n, module, package)
                     for a in n.names:
-                        put(src, f"{n.module}.{a.name}", "imports", {})
+                        put(src, f"{base}.{a.name}" if base else a.name, "imports", {})
                 visit(n, src, owners)
 
     visit(tree, module, {})
@@ -120,7 +136,8 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     n = nodes.select("package", "node").distinct()
     every = n.select("node").distinct()
-    r = refs.withColumn("__k", F.monotonically_increasing_id())
+    # the numbers join three branches, so they are written down once
+    r = cut(refs.withColumn("__k", F.monotonically_increasing_id()))
     rest = F.expr("substring(name, instr(name, '.') + 1)")
     is_self = F.col("name").startswith("self.")
     has_dot = F.contains("name", F.lit("."))

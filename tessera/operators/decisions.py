@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.operators.files import lines
+from tessera.session import cut
 
 # Words that announce a change of architecture, words that titles are compared without, states of a decision record.
 KEYWORDS = ["migrate", "switch to", "replace", "adopt", "deprecate", "rewrite", "introduce", "remove", "extract", "split", "convert", "transition", "revert"]
@@ -185,15 +186,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(0.0)
 
 
-def similar_titles(df: DataFrame, least: float = 0.85, id_col: str = "id", title: str = "title") -> DataFrame:
+def similar_titles(df: DataFrame, least: float = 0.85, id_col: str = "id", title: str | None = "title", by: str | None = None, tokens: str = "toks") -> DataFrame:
     """(a, b, overlap) between different token sets; rows of equal sets come as members of one representative.
 
+    ``by`` names a column that both must share; without a title column the sets are those of ``tokens``.
+
     Candidates share one of the tokens that a set this similar must have in common with another (prefix
     filter over tokens ordered by rarity), so no group is expanded into all its pairs.
     """
-    t = df.select(F.col(id_col).alias("id"), title_tokens(F.col(title)).alias("toks")).where(F.size("toks") > 0)
-    sets = t.groupBy(F.sort_array("toks").alias("toks")).agg(F.min("id").alias("rep"))
-    tok = sets.select("rep", "toks", F.explode("toks").alias("tok"))
+    own = F.col(by).cast("string") if by else F.lit("")
+    t = df.select(F.col(id_col).alias("id"), own.alias("by"), (F.col(tokens) if title is None else title_tokens(F.col(title))).alias("toks")).where(F.size("toks") > 0)
+    sets = t.groupBy("by", F.sort_array("toks").alias("toks")).agg(F.min("id").alias("rep"))
+    # a token is one of its ``by``
+    tok = sets.select("rep", "toks", F.explode(F.transform("toks", lambda x: F.concat("by", F.lit("\0"), x))).alias("tok"))
     freq = tok.groupBy("tok").agg(F.count("*").alias("n"))
     order = tok.join(freq, "tok").groupBy("rep", "toks").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("o"))
     n = F.size("toks")
@@ -255,13 +260,17 @@ def community_cards(nodes: DataFrame, top: int = 10) -> DataFrame:
 def greedy_groups(df: DataFrame, by: str, order: str, title: str = "title", least: float = 0.85) -> DataFrame:
     """(by, order, group): rows in order join the first group whose first title is similar enough.
 
-    The fold depends on the order, so each ``by`` is one walk over its token sets; only distinct normalised
-    titles enter it, and rows of one set take its group afterwards.
+    The fold depends on the order, so titles that may meet are walked together: distinct normalised titles that
+    have a similar one in their ``by`` at all, found by the join of ``similar_titles``. All others, and rows without a title word,
+    are groups of their own set; rows of one set take its group afterwards.
     """
     import pandas as pd
 
     rows = df.select(by, F.col(order).alias("__o"), F.sort_array(title_tokens(F.col(title))).alias("toks"))
-    sets = rows.groupBy(by, "toks").agg(F.min("__o").alias("first"))
+    sets = rows.groupBy(by, "toks").agg(F.min("__o").alias("first")).withColumn("rep", F.concat_ws("\0", F.col(by).cast("string"), F.array_join("toks", " ")))
+    sets = cut(sets)
+    near = similar_titles(sets, least, "rep", None, by, "toks")
+    meet = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
     t = dict(sets.dtypes)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -271,8 +280,8 @@ def greedy_groups(df: DataFrame, by: str, order: str, title: str = "title", leas
         out = []
         for toks, first in zip(pdf["toks"], pdf["first"], strict=True):
             s = frozenset(toks)
-            near = sorted({g for w in s for g in holding.get(w, ())})
-            hit = next((g for g in near if len(s & groups[g][0]) / len(s | groups[g][0]) >= least), None)
+            near_ = sorted({g for w in s for g in holding.get(w, ())})
+            hit = next((g for g in near_ if len(s & groups[g][0]) / len(s | groups[g][0]) >= least), None)
             if hit is None:
                 hit = len(groups)
                 groups.append((s, first))
@@ -281,5 +290,6 @@ def greedy_groups(df: DataFrame, by: str, order: str, title: str = "title", leas
             out.append(groups[hit][1])
         return pd.DataFrame({by: pdf[by], "toks": pdf["toks"], "group": out})
 
-    g = sets.groupBy(by).applyInPandas(fold, f"`{by}` {t[by]}, toks array<string>, `group` {t['first']}")
-    return rows.join(g, [by, "toks"]).select(by, F.col("__o").alias(order), "group")
+    folded = sets.join(meet, "rep", "left_semi").groupBy(by).applyInPandas(fold, f"`{by}` {t[by]}, toks array<string>, `group` {t['first']}")
+    alone = sets.join(meet, "rep", "left_anti").select(by, "toks", F.col("first").alias("group"))
+    return rows.join(folded.unionByName(alone), [by, "toks"]).select(by, F.col("__o").alias(order), "group")

@@ -152,3 +152,94 @@ def label_agreement(df: DataFrame, a: str, b: str, by: str, least: float = 0.9)
     u = F.size(F.array_union(a, b))
     jac = F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(1.0)
     return df.groupBy(by).agg(F.round(F.avg(jac), 6).alias("agreement")).withColumn("agrees", F.col("agreement") >= least)
+
+
+def relevant(items: DataFrame, gold: DataFrame) -> DataFrame:
+    """Items (qid, rank, key, body, source_path) with ``relevant``, against gold (qid, body, keys, files).
+
+    The first signal that a query's gold has decides: a body must be equal, keys (also none of them) must hold the
+    item's, a file must be the item's path or its end after a slash. Without any signal nothing is relevant.
+    """
+    g = gold.select("qid", F.col("body").alias("__body"), F.col("keys").alias("__keys"), F.col("files").alias("__files"))
+    path = F.exists("__files", lambda f: (F.col("source_path") == f) | F.endswith("source_path", F.concat(F.lit("/"), f)))
+    yes = F.when(F.col("__body").isNotNull(), F.col("body") == F.col("__body")).when(F.col("__keys").isNotNull(), F.array_contains("__keys", F.col("key"))).when(F.size("__files") > 0, path)
+    return items.join(g, "qid", "left").withColumn("relevant", F.coalesce(yes, F.lit(False))).drop("__body", "__keys", "__files")
+
+
+def first_relevant(items: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, rank) of the first relevant item; queries without one are left out."""
+    return relevant(items, gold).where("relevant").groupBy("qid").agg(F.min("rank").alias("rank"))
+
+
+def largest_remainder(df: DataFrame, stratum: str, id_col: str, target: int, seed: int = 0) -> DataFrame:
+    """(stratum, id): ``target`` rows shared out in proportion to the strata, what is left to the largest remainders, ties by stratum; rows in hash order."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    q = sizes.crossJoin(F.broadcast(total)).withColumn("want", F.least(F.lit(target), F.col("total")))
+    # whole numbers: quota = want * n / total, so floors and remainders are exact
+    q = q.withColumn("floor", F.expr("want * n div total")).withColumn("rest", F.expr("want * n % total"))
+    given = q.agg(F.sum("floor").alias("given"))
+    w = W.partitionBy().orderBy(F.desc("rest"), stratum)  # one row for each stratum
+    q = q.crossJoin(F.broadcast(given)).withColumn("seat", F.row_number().over(w)).withColumn("take", F.col("floor") + F.when(F.col("seat") <= F.col("want") - F.col("given"), 1).otherwise(0))
+    h = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    r = df.select(stratum, F.col(id_col).alias("id"), h.alias("h")).withColumn("at", F.row_number().over(W.partitionBy(stratum).orderBy("h", "id")))
+    return r.join(q.select(stratum, "take"), stratum).where(F.col("at") <= F.col("take")).select(stratum, "id")
+
+
+# The labels of a failed or solved run in the order in which they are tried, and the weights of a run's score.
+LABELS = [
+    "infra_error", "empty_trajectory", "crash_before_first_tool", "patch_apply_failed", "budget_exhausted", "resolved",
+    "never_ran_tests", "localization_miss", "found_but_misdiagnosed", "right_idea_broken_edit", "regression_introduced", "unclassified_failure",
+]
+WEIGHTS = {"localization_recall": 0.20, "evidence_yield": 0.10, "patch_applies": 0.20, "f2p_fraction": 0.30, "p2p_clean": 0.10, "budget_headroom": 0.10}
+
+
+def run_label() -> Column:
+    """The label of a run from its columns: the first of LABELS whose condition holds.
+
+    Booleans infra_error, has_tool, spoke, error_result, apply_failed, is_resolved, ran_tests, gold_surfaced, touches_gold; numbers
+    patch_bytes, f2p_fraction, p2p_regressions, turns, turn_cap, tokens, token_cap, wall, wall_cap (a null cap is none).
+    """
+    c = F.col
+    hit = lambda n: F.coalesce(c(n) >= c(f"{'turn' if n == 'turns' else 'token' if n == 'tokens' else n}_cap"), F.lit(False))
+    silent = ~c("spoke") & ~c("error_result")
+    when = [
+        c("infra_error"),
+        ~c("has_tool") & silent & (c("patch_bytes") == 0),
+        ~c("has_tool") & ~silent,
+        c("apply_failed"),
+        (c("patch_bytes") == 0) & (hit("turns") | hit("tokens") | hit("wall")),
+        c("is_resolved"),
+        ~c("ran_tests"),
+        ~c("gold_surfaced"),
+        ~c("touches_gold"),
+        c("f2p_fraction") < 1.0,
+        c("p2p_regressions") > 0,
+    ]
+    return first_match(list(zip(LABELS, when, strict=False)), LABELS[-1])
+
+
+def run_score() -> Column:
+    """The weighted mean of six facts of a run: gold_recall, wasted_ratio, patch_applied, f2p_fraction, p2p_regressions, turns and turn_cap."""
+    c = F.col
+    headroom = F.when(F.coalesce(c("turn_cap"), F.lit(0)) == 0, 1.0).otherwise(1.0 - F.least(F.lit(1.0), c("turns") / c("turn_cap")))
+    parts = {"localization_recall": c("gold_recall"), "evidence_yield": 1.0 - c("wasted_ratio"), "patch_applies": c("patch_applied").cast("double"), "f2p_fraction": c("f2p_fraction"), "p2p_clean": (c("p2p_regressions") == 0).cast("double"), "budget_headroom": headroom}
+    return shaped_score({k: (parts[k], w) for k, w in WEIGHTS.items()})
+
+
+def run_aggregate(runs: DataFrame, *by: str, infra: str = "infra_error", score: str = "score", cost: str = "cost", max_cost: float | None = None) -> DataFrame:
+    """(*by, score, cost, graded, infra_excluded, within_budget): means over the graded runs, the cost of all; nothing graded scores 0."""
+    bad = F.coalesce(F.col(infra), F.lit(False))
+    g = runs.groupBy(*by).agg(F.round(F.coalesce(F.avg(F.when(~bad, F.col(score))), F.lit(0.0)), 6).alias("score"), F.round(F.sum(cost), 6).alias("cost"), F.count_if(~bad).alias("graded"), F.count_if(bad).alias("infra_excluded"))
+    return g.withColumn("within_budget", F.lit(True) if max_cost is None else F.col("cost") <= max_cost)
+
+
+def strata_contrasts(a: DataFrame, b: DataFrame, stratum: DataFrame, key: str = "id", solved: str = "solved") -> DataFrame:
+    """(stratum, only_a, only_b, n, delta): two systems on the same instances, stratum by stratum; instances without one are ``unknown``.
+
+    Both must hold the same instances; others are left out. ``mcnemar`` gives the p-values of the two counts.
+    """
+    j = a.select(key, F.col(solved).alias("__a")).join(b.select(key, F.col(solved).alias("__b")), key).join(stratum.select(key, "stratum"), key, "left")
+    g = j.groupBy(F.coalesce("stratum", F.lit("unknown")).alias("stratum"))
+    out = g.agg(F.count_if(F.col("__a") & ~F.col("__b")).alias("only_a"), F.count_if(~F.col("__a") & F.col("__b")).alias("only_b"), F.count("*").alias("n"))
+    return out.withColumn("delta", F.round((F.col("only_a") - F.col("only_b")) / F.col("n"), 6))

@@ -129,10 +129,23 @@ def scope_column(scopes: set[str], package: str = "package", own: str = OWN) ->
     return out
 
 
-def route_columns(terms: str = "terms", threshold: int = 8) -> dict[str, Column]:
-    """Predicates on a table of queries, by which batches are routed."""
-    n = F.size(F.filter(F.split(F.trim(F.col(terms)), r"\s+"), lambda t: t != ""))
-    return {"query_has_multiple_terms": n >= 4, "is_long_query": n >= threshold}
+def route_columns(terms: str = "terms", threshold: int = 8, scope: str | None = None, origin: str | None = None, matches: str | None = None) -> dict[str, Column]:
+    """Predicates on a table of queries, by which batches are routed.
+
+    Columns for the scope, the origin asked for and the number of matches so far are optional; a null or missing scope includes everything.
+    """
+    n = F.size(F.filter(F.split(F.trim(F.coalesce(F.col(terms), F.lit(""))), r"\s+"), lambda t: t != ""))
+    asked = F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("")
+    return {
+        "has_matches": F.coalesce(F.col(matches), F.lit(0)) > 0 if matches else F.lit(False),
+        "query_has_multiple_terms": n >= 4,
+        "scope_includes_dependencies": asked != "project_only",
+        "scope_includes_project": asked != "dependencies_only",
+        "scope_is_project_only": asked == "project_only",
+        "scope_is_dependencies_only": asked == "dependencies_only",
+        "kind_is_decision": F.coalesce(F.col(origin), F.lit("")) == "decision_record" if origin else F.lit(False),
+        "is_long_query": n >= threshold,
+    }
 
 
 class Registry(dict):

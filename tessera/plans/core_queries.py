@@ -568,7 +568,7 @@ def mentions_extract(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def python_symbols(spark, d):  # noqa: ANN001, ANN201
-    return chunking.python_symbols(table(spark, d, "chunks").where("kind in ('function', 'method', 'class')"))
+    return chunking.python_symbols(table(spark, d, "chunks").where(F.lower(blank_to_null("kind")).isin("function", "method", "class")))
 
 
 # incremental

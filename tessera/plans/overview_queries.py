@@ -141,9 +141,9 @@ def caller_counts(spark, d):  # noqa: ANN001, ANN201
 @query()
 def fuzzy_gold(spark, d):  # noqa: ANN001, ANN201
     c = table(spark, d, "chunks")
-    r = retrieval.hydrate(_bm25(spark, d, 3), c, "id", ["text"])
-    gold = table(spark, d, "packages").where("summary is not null").select(F.col("name").alias("qid"), F.col("summary").alias("text"))
-    return overview.fuzzy_gold(r, gold, 60.0)
+    r = retrieval.hydrate(_bm25(spark, d), c, "id", ["text"])
+    gold = r.where("rank = 1").select("qid", F.substring("text", 20, 100).alias("text"))
+    return overview.fuzzy_gold(r, gold)
 
 
 @query("""WITH m AS (SELECT module, name, coalesce(signature, name) || E'\\n    ' || trim(split_part(trim(docstring, ' '), E'\\n', 1), ' ') AS line FROM module_members WHERE NOT starts_with(name, '_') AND docstring IS NOT NULL AND trim(docstring, ' ') <> ''),
@@ -169,12 +169,12 @@ def trace_sequence(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def capture_references(spark, d):  # noqa: ANN001, ANN201
-    return capture.references(table(spark, d, "chunks").where("kind in ('function', 'method', 'class')"))
+    return capture.references(table(spark, d, "chunks").where(F.lower(blank_to_null("kind")).isin("function", "method", "class")))
 
 
 @query()
 def resolve_rules(spark, d):  # noqa: ANN001, ANN201
-    c = table(spark, d, "chunks").where("kind in ('function', 'method', 'class')")
+    c = table(spark, d, "chunks").where(F.lower(blank_to_null("kind")).isin("function", "method", "class"))
     r = capture.references(c).join(c.select("id", "package"), "id")
     return capture.resolve(r, _nodes(spark, d))
 

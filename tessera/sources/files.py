@@ -13,7 +13,10 @@ from tessera.operators.files import excluded
 
 # Extensions that are read, folders that are not, and the largest file.
 EXTENSIONS = [".py", ".md", ".ipynb", ".rst", ".txt", ".toml", ".yaml", ".yml", ".ini", ".cfg", ".json", ".js", ".ts", ".tsx", ".c", ".h", ".rs"]
-SKIPPED = [".git", "__pycache__", "node_modules", ".venv", "venv", "build", "dist", ".mypy_cache", ".pytest_cache"]
+SKIPPED = [
+    ".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", ".eggs", "egg-info",
+    "node_modules", ".yarn", "bower_components", "extern", "third_party", "build", "dist", "target", "htmlcov", ".coverage", ".cache", "site-packages",
+]
 MAX_BYTES = 1_000_000
 
 
@@ -54,9 +57,12 @@ def parse_requirements(text: str) -> list[tuple[str, str]]:
 
 
 def parse_pyproject(text: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
-    """(dependencies, scripts) of a project file."""
-    data = tomllib.loads(text).get("project", {})
-    return parse_requirements("\n".join(data.get("dependencies", []))), dict(data.get("scripts", {}))
+    """(dependencies, scripts) of a project file; those of extras and dependency groups too. What is no list of texts is left out."""
+    data = tomllib.loads(text)
+    project = data.get("project", {})
+    lists = [project.get("dependencies"), *project.get("optional-dependencies", {}).values(), *data.get("dependency-groups", {}).values()]
+    specs = [x for part in lists if isinstance(part, list) for x in part if isinstance(x, str) and x.strip()]
+    return parse_requirements("\n".join(specs)), dict(project.get("scripts", {}))
 
 
 def commit_log(spark: SparkSession, path: str) -> DataFrame:
@@ -77,8 +83,8 @@ TRACE = T.StructType([T.StructField(n, t) for n, t in (("trajectory_id", T.Strin
 
 
 def traces(spark: SparkSession, path: str, schema: T.StructType = TRACE) -> DataFrame:
-    """Trace records from JSON lines, with a schema and no inference; broken lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Trace records from JSON lines, with a schema and no inference; a broken line is a row of nulls with the line as ``broken``."""
+    return spark.read.schema(T.StructType([*schema, T.StructField("broken", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
 
 
 def write_traces(df: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, evaluation, filters, fusion, graph, incremental, lexical, retrieval
+from tessera.operators import capture, chunking, decisions, evaluation, filters, fusion, graph, incremental, lexical, overview, retrieval, workspace
 from tessera.plans import core_queries, pipeline
 from tessera.sources import files as src
 
@@ -334,6 +334,7 @@ def test_sources(spark, tmp_path):
     assert len(src.fingerprint(f.withColumn("p", F.lit(1)), "p").first().fingerprint) == 16
     assert src.parse_requirements("# c\nA-b>=1,<2 ; python_version>'3'\n-r x\nc[extra]\n") == [("a_b", ">=1,<2"), ("c", "")]
     assert src.parse_pyproject('[project]\ndependencies = ["X-y==1"]\n[project.scripts]\ngo = "m:f"\n') == ([("x_y", "==1")], {"go": "m:f"})
+    assert src.parse_pyproject('[project]\ndependencies = "no"\n[project.optional-dependencies]\na = ["P>1"]\n[dependency-groups]\nd = ["Q", {include-group = "a"}]\n')[0] == [("p", ">1"), ("q", "")]
     (tmp_path / "log").write_text("commit: abc\nauthor-date: 2025-01-01 00:00:00\nsubject: One\nbody: B\nmore\nfiles:\na.py\nb.py\n==END==\n")
     r = src.commit_log(spark, str(tmp_path / "log")).first()
     assert (r["commit"], r.subject, r.body, r.files) == ("abc", "One", "B\nmore", ["a.py", "b.py"])
@@ -345,3 +346,80 @@ def test_label_propagation_and_tree(spark):
     assert got["a"] == got["b"] == got["c"] != got["x"] == got["y"] == got["z"]
     m = spark.createDataFrame([("p.q.r",), ("p.q.s",), ("p.t",)], "module string")
     assert {(r.node, r.parent, r.kind) for r in graph.package_tree(m).collect()} == {("p", None, "subpackage"), ("p.q", "p", "subpackage"), ("p.q.r", "p.q", "module"), ("p.q.s", "p.q", "module"), ("p.t", "p", "module")}
+
+
+def test_reexports(spark):
+    edges = spark.createDataFrame(
+        [
+            (1, "b", "b.x", "a.api.run", None, "calls"), (2, "a", "a.api", "run", "a.core.run", "imports"),  # resolved import
+            (3, "b", "b.x", "a.api.stop", None, "calls"), (4, "a", "a.api", "core.stop", None, "imports"),  # relative import
+            (5, "b", "b.x", "a.api.none", None, "calls"), (6, "a", "a.z", "a.api.run", None, "calls"),  # nothing; own project
+            (7, "b", "b.x", "a.two.f", None, "calls"), (8, "a", "a.two", "f", "a.core.run.f", "imports"), (9, "a", "a.two", "core.f", None, "imports"),  # ambiguous
+            (10, "b", "b.x", None, None, "calls"), (11, "b", "b.x", "plain", None, "calls"),
+        ],
+        "ref_id long, project string, src string, name string, dst string, kind string",
+    )
+    symbols = spark.createDataFrame([("a", n) for n in ("a.api", "a.core.run", "a.core.stop", "a.two", "a.core.run.f", "a.core.f")] + [("b", "b.x"), ("b", "b.x")], "project string, node string")
+    got = sorted(tuple(r) for r in workspace.reexports(edges, symbols).collect())
+    assert got == [(1, "b", "a", "a.core.run"), (3, "b", "a", "a.core.stop")]
+    assert workspace.reexports(edges.limit(0), symbols).count() == 0
+
+
+def test_similar_projects_and_scores(spark):
+    s = spark.createDataFrame([(1, "a", "x", [1.0, 0.0]), (2, "a", "x", [0.0, 1.0]), (3, "b", "y", [1.0, 0.1]), (4, "b", "z", [0.0, 0.9]), (5, "b", "z", [0.5, 0.5]), (6, None, "w", [1.0, 1.0])], "id long, project string, node string, embedding array<double>")
+    got = sorted(tuple(r) for r in workspace.similar_projects(s, 1, 0.6).collect())
+    assert got == [("a", "x", "b", "y", 1.0, 1), ("b", "y", "a", "x", 1.0, 1), ("b", "z", "a", "x", 0.9, 1)]
+    local = spark.createDataFrame([("p", "a", "b"), ("p", "b", None)], "project string, src string, dst string")
+    cross = spark.createDataFrame([("p", "a", "q", "c")], "from_project string, from_node_id string, to_project string, to_node_id string")
+    rows = {r.node: r for r in workspace.workspace_scores(local, cross).collect()}
+    assert {n: r.in_degree for n, r in rows.items()} == {"p::a": 0, "p::b": 1, "q::c": 1}
+    assert abs(sum(r.pagerank for r in rows.values()) - 1) < 1e-9
+
+
+def test_walks_go_to_the_end_of_a_deep_tree(spark):
+    deep = [("m", None, "module", "t")] + [(f"m.{i:02d}", "m" if i == 0 else f"m.{i - 1:02d}", "class", "t") for i in range(30)]
+    t = spark.createDataFrame([*deep, ("u", "v", "class", "t"), ("v", "u", "class", "t")], "node string, parent string, kind string, text string")
+    assert {r.module for r in capture.flatten_tree(t).where("node like 'm%'").collect()} == {"m"}
+    assert {(r.node, r.module) for r in capture.flatten_tree(t).where("node not like 'm%'").collect()} == {("u", "u"), ("v", "v")}
+    assert overview.prune_tree(t, spark.createDataFrame([("m.29",)], "node string")).count() == 31
+    assert overview.prune_tree(t, spark.createDataFrame([("u",)], "node string")).count() == 2
+    levels = {r.node: r.level for r in overview.node_budget(t, 100).collect()}
+    assert levels["m.29"] == 30 and len(levels) == 31
+    tree = spark.createDataFrame([(f"n{i}{s}", None if i == 0 else f"n{i - 1}a", "class") for i in range(12) for s in "ab" if i or s == "a"], "node string, parent string, kind string")
+    hits = spark.createDataFrame([(1, f"n{i}b", 1.0) for i in range(1, 12)] + [(1, "n11a", 1.0)], "qid int, node string, score double")
+    assert [(r.node, r.rolled) for r in fusion.parent_rollup(hits, tree).collect()] == [("n0a", 11)]
+
+
+def test_decisions_are_mined_and_merged(spark):
+    docs = spark.createDataFrame(
+        [
+            (1, "intro\n# 12. Use sidecar for vectors\nStatus: Accepted\nDate: 2024-05-01\nsee a.b.c and a.q"), (2, "# Other\nStatus: on hold\n"), (3, "no heading"), (4, None),
+            (5, "## Replace the cache\none\ntwo\nthree\n\n# Short\nadopt it\n"), (6, "x # DECISION: Use the sidecar for vectors\ny\n# REJECTED: one file\n"),
+        ],
+        "doc_id long, text string",
+    )
+    adr = decisions.decision_records(docs)
+    assert sorted((r.id, r.title, r.status, str(r.dated)) for r in adr.collect()) == [(1, "Use sidecar for vectors", "active", "2024-05-01"), (2, "Other", "proposed", "None"), (5, "Short", "proposed", "None"), (6, "REJECTED: one file", "proposed", "None")]
+    log = decisions.changelog_decisions(docs)
+    assert [(r.id, r.title) for r in log.collect()] == [(5, "Replace the cache")]
+    marks = decisions.inline_markers(docs, "doc_id").withColumnRenamed("doc_id", "id")
+    assert sorted((r.title, r.status, r.evidence.count("\n")) for r in marks.collect()) == [("Use the sidecar for vectors", "active", 3), ("one file", "rejected", 3)]
+    prose = decisions.keyword_gate(docs)
+    raws = decisions.mined(adr=adr, markers=marks, changelog=log, prose=prose).withColumn("package", F.lit("p")).withColumn("at", F.concat("source", F.lpad("id", 9, "0"), F.lpad(F.col("place").cast("string"), 9, "0")))
+    keyed = raws.join(decisions.greedy_groups(raws, "package", "at"), ["package", "at"])
+    best = {r.title: r for r in decisions.merged_decisions(keyed).collect()}
+    assert (best["Use sidecar for vectors"].members, best["Use sidecar for vectors"].confidence, best["Use sidecar for vectors"].source) == (2, 1.0, "adr_files")
+    names = decisions.mentioned_names(docs, spark.createDataFrame([("a.b.c.d",), (None,)], "node_id string"), "doc_id", "text")
+    assert [tuple(r) for r in decisions.governs_edges(adr, names).collect()] == [("decision:use-sidecar-vectors", "a.b.c", "governs")]
+    commits = spark.createDataFrame([("s1", None, "Migrate and replace it", ""), ("s2", None, "adopt", "a\nb"), ("s3", None, "adopt", "a\n\nb\nc"), (None, None, "migrate replace", "")], "sha string, at timestamp, subject string, body string")
+    assert sorted(r.id for r in decisions.commit_decisions(commits).collect()) == ["s1", "s3"]
+
+
+def test_relative_imports_and_annotated_attributes():
+    import ast
+
+    source = "from . import one\nfrom ..two import three as t\nfrom ....far import x\nclass K:\n    store: db.Store\n    def f(self):\n        self.store.get(t())\n"
+    got = {(n, k, a, o) for _, n, k, a, o in capture._capture(ast.parse(source), "p.q.m")}
+    assert {("p.q.one", "imports", None, None), ("p.two.three", "imports", None, None), ("far.x", "imports", None, None), ("t", "calls", "p.two.three", None), ("self.store.get", "calls", None, "db.Store")} <= got
+    package = {n for _, n, k, _, _ in capture._capture(ast.parse(source), "p.q", True) if k == "imports"}
+    assert package == {"p.q.one", "p.two.three", "far.x"}

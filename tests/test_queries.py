@@ -9,7 +9,7 @@ import pytest
 from tests.oracle import compare, duck
 
 D = "/root/testdata/sf0.001"
-CORE = [importlib.import_module(m) for m in ("tessera.plans.problems", "tessera.plans.core_queries", "tessera.plans.overview_queries", "tessera.plans.decision_queries")]
+CORE = [importlib.import_module(m) for m in ("tessera.plans.problems", "tessera.plans.core_queries", "tessera.plans.overview_queries", "tessera.plans.decision_queries", "tessera.plans.workspace_queries")]
 NAMES = [n for m in CORE for n in m.QUERIES]
 
 
