@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions.text import parents
-from tessera.session import cut
+from tessera.session import cut, partitions
 
 
 def lookup(targets: DataFrame, known: DataFrame) -> DataFrame:
@@ -168,5 +168,5 @@ def fuzzy_gold(ranked: DataFrame, gold: DataFrame, least: float = 85.0) -> DataF
 
         return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
-    j = ranked.where("id is not null").join(gold.select("qid", F.col("text").alias("gold")), "qid")
+    j = ranked.where("id is not null").join(gold.select("qid", F.col("text").alias("gold")), "qid").repartition(partitions(ranked.sparkSession), "qid", "id")
     return j.withColumn("ratio", ratio("text", "gold")).groupBy("qid", "id", "rank").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= least)
