@@ -35,6 +35,11 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "claude_stream"))
 
 
+def p3_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations without their contigs, which SQL does not know."""
+    return p3_conversations(spark, d).drop("contig")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return code_docs.members_telling(table(spark, d, "module_members"), table(spark, d, "chunks")).select("id")
 
@@ -70,10 +75,37 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_conversations, p6_found, p6_pairs, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pages)
+    for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_conversations, p3_ordered, p6_found, p6_pairs, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pages)
 }
 
+_TALK = """
+lines AS (
+  SELECT lower(trim(session_id, E' \\t\\n\\r')) AS session_id, uuid, line_id, ts, seq,
+    CASE WHEN lower(trim(type)) IN ('user', 'assistant') THEN lower(trim(type))
+         WHEN nullif(trim(type), '') IS NULL THEN CASE lower(trim(message.role, E' \\t\\n\\r')) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'model' THEN 'assistant' END END AS who,
+    coalesce(message.content, []) AS content
+  FROM claude_stream WHERE session_id IS NOT NULL AND trim(session_id, E' \\t\\n\\r') <> ''),
+one AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY session_id, coalesce(uuid, CAST(line_id AS VARCHAR)) ORDER BY line_id) = 1),
+m AS (
+  SELECT session_id, line_id, ts, seq, who, list_filter(list_transform(list_filter(content, lambda b: b.type = 'text'), lambda b: coalesce(b.text, '')), lambda t: regexp_matches(t, '[\\p{L}\\p{N}]')) AS said,
+    who IS NOT NULL AND len(said) > 0 AS speaks
+  FROM one),
+talk AS (
+  SELECT session_id, who, row_number() OVER w AS n, lead(who) OVER w AS next FROM m WHERE speaks
+  WINDOW w AS (PARTITION BY session_id ORDER BY ts NULLS LAST, seq NULLS LAST, line_id)),
+blocks AS (SELECT session_id, unnest(content) AS b FROM lines),
+ids AS (
+  SELECT session_id, trim(b.id) AS id, 1 AS used FROM blocks WHERE b.type = 'tool_use' AND trim(b.id) <> ''
+  UNION ALL SELECT session_id, trim(b.tool_use_id), 0 FROM blocks WHERE b.type = 'tool_result' AND trim(b.tool_use_id) <> ''),
+dropped AS (
+  SELECT session_id FROM m GROUP BY session_id HAVING NOT bool_or(speaks)
+  UNION SELECT session_id FROM talk WHERE (n = 1 AND who = 'assistant') OR (who = 'user' AND next IS DISTINCT FROM 'assistant')
+  UNION SELECT session_id FROM (SELECT session_id, id FROM ids GROUP BY ALL HAVING count(DISTINCT used) = 1))
+"""
+
 SQL = {
+    "p3_ordered": f"""WITH {_TALK} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS LAST, seq NULLS LAST, line_id) - 1 AS position, who AS speaker, array_to_string(said, E'\\n') AS text, ts
+FROM m WHERE who IS NOT NULL AND session_id NOT IN (SELECT session_id FROM dropped)""",
     # CR LF becomes two marks of its own, so that the length stays and no line end is halved
     "p1_found": r"""
 WITH t AS (SELECT id, replace(text, E'\r\n', E'\x01\n') AS x FROM chunks WHERE length(text) > 2000),
