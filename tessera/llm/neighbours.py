@@ -24,11 +24,11 @@ from pyspark.sql.window import Window as W
 from tessera.session import cut
 
 #: Vectors a list should hold, vectors the first centroids are fitted on, sampled vectors for each of these and for each centroid of a region.
-LIST_SIZE, SAMPLE, PER_CENTROID, PER_REGION_CENTROID = 300, 20_000, 4, 8
+LIST_SIZE, SAMPLE, PER_CENTROID, PER_REGION_CENTROID = 300, 20_000, 4, 16
 #: Rows of a region that one task looks up; a region with more is looked up by several.
 REGION_ROWS = 50_000
-#: Regions a vector visits at most, where lists are found by region.
-REGION_MOST = 4
+#: Regions a vector visits up to this ratio, at most so many, where lists are found by region.
+REGION_RATIO, REGION_MOST = 1.15, 6
 #: Vectors stored up to this ratio of the nearest centroid's distance, in at most so many lists.
 STORE_RATIO, STORE_MOST = 1.04, 3
 #: Lists visited up to this ratio, at most so many; a vector that is a centroid visits the next ones too.
@@ -278,7 +278,7 @@ def _post_by_region(groups: DataFrame, regions: np.ndarray, dim: int, list_size:
     vector found in all its regions, without carrying the vectors along.
     """
     own = groups.withColumn("gid", F.element_at("ids", 1))
-    routed = cut(_post(own.select("vec", F.array("gid").alias("ids")), regions, dim, ratio, REGION_MOST).select(F.col("list").alias("region"), "stored", F.element_at("ids", 1).alias("gid")))
+    routed = cut(_post(own.select("vec", F.array("gid").alias("ids")), regions, dim, REGION_RATIO, REGION_MOST).select(F.col("list").alias("region"), "stored", F.element_at("ids", 1).alias("gid")))
     load = routed.groupBy("region").agg(F.count_if("stored").alias("homes"), F.ceil(F.count("*") / REGION_ROWS).cast("int").alias("salts"))
     load = cut(load.withColumn("wanted", F.greatest(F.lit(1), F.round(F.col("homes") / list_size).cast("int"))))
     drawn = F.pmod(F.xxhash64("gid"), F.lit(1_000_000)) < F.ceil(1_000_000 * F.least(F.lit(1.0), PER_REGION_CENTROID * F.col("wanted") / F.col("homes")))
@@ -290,31 +290,31 @@ def _post_by_region(groups: DataFrame, regions: np.ndarray, dim: int, list_size:
 
     cents = sampled.groupBy("region").applyInArrow(fit, "region long, cents binary")
     spread = load.join(cents, "region").select(F.col("region").alias("r"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), "cents")
-    salted = routed.join(load, "region").select("region", F.pmod(F.xxhash64("gid"), F.col("salts").cast("long")).cast("int").alias("salt"), "stored", "gid").join(own.select("gid", "vec"), "gid")
-    schema = pa.schema([("gid", pa.int64()), ("list", pa.int64()), ("far", pa.float32()), ("home", pa.bool_())])
+    salted = routed.join(load, "region").select("region", F.pmod(F.xxhash64("gid"), F.col("salts").cast("long")).cast("int").alias("salt"), "gid").join(own.select("gid", "vec"), "gid")
+    schema = pa.schema([("gid", pa.int64()), ("list", pa.int64()), ("far", pa.float32())])
 
     def look(rows: pa.Table, centroids: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
         region = rows.column("region")[0].as_py() << 32
-        gid, home = rows.column("gid").to_numpy(), rows.column("stored").to_numpy()
+        gid = rows.column("gid").to_numpy()
         if not centroids.num_rows:  # none of its few vectors was drawn: one list
-            return pa.table([pa.array(gid), pa.array(np.full(len(gid), region)), pa.array(np.zeros(len(gid), np.float32)), pa.array(home)], schema=schema)
+            return pa.table([pa.array(gid), pa.array(np.full(len(gid), region)), pa.array(np.zeros(len(gid), np.float32))], schema=schema)
         graph = CentroidGraph(np.frombuffer(centroids.column("cents")[0].as_py(), np.float32).reshape(-1, dim))
         out = []
         for i in range(0, rows.num_rows, 1024):
             ids, cos = graph.search(_unit(_matrix(rows.column("vec").slice(i, 1024).to_pylist(), dim)), max(most, STORE_MOST))
             r, c = np.nonzero(_choose(ids, cos, max(ratio, STORE_RATIO), max(most, STORE_MOST), VISIT_LEAST))
             far = np.sqrt(np.maximum(0.0, 2 - 2 * cos[r, c]))
-            out.append(pa.table([pa.array(gid[i + r]), pa.array(ids[r, c].astype(np.int64) + region), pa.array(far.astype(np.float32)), pa.array(home[i + r])], schema=schema))
+            out.append(pa.table([pa.array(gid[i + r]), pa.array(ids[r, c].astype(np.int64) + region), pa.array(far.astype(np.float32))], schema=schema))
         return pa.concat_tables(out)
 
-    met = salted.groupBy("region", "salt").cogroup(spread.groupBy("r", "s")).applyInArrow(look, "gid long, list long, far float, home boolean")
+    met = salted.groupBy("region", "salt").cogroup(spread.groupBy("r", "s")).applyInArrow(look, "gid long, list long, far float")
     w = W.partitionBy("gid")
     met = met.withColumn("least", F.min("far").over(w)).withColumn("place", F.row_number().over(w.orderBy("far", "list")))
     near = lambda r, m: (F.col("far") <= F.greatest(F.col("least") * r, F.col("least") + 1e-6)) & (F.col("place") <= m)
     met = met.where(near(max(ratio, STORE_RATIO), max(most, STORE_MOST)) | (F.col("place") <= VISIT_LEAST))
-    return met.select("gid", "list", (near(STORE_RATIO, STORE_MOST) & F.col("home")).alias("stored")).join(own, "gid").select("list", "stored", "vec", "ids")
+    return met.select("gid", "list", near(STORE_RATIO, STORE_MOST).alias("stored")).join(own, "gid").select("list", "stored", "vec", "ids")
 
 
 def _compare_list(k: int, dim: int, least: float | None):  # noqa: ANN202
