@@ -181,21 +181,20 @@ def dense_topk_allowlist(spark, d):  # noqa: ANN001, ANN201
     return retrieval.dense(v, q, 10, v.where("label < 5"))
 
 
-_CAND = "c AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY (id * 7919 + qid) % 1009, id) AS INTEGER) AS rank FROM v, q WHERE label = ql)"
+_USABLE = "u AS (SELECT id, package, CASE WHEN len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 96 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e FROM chunks)"
 
 
-def _candidates(v, q):  # noqa: ANN001, ANN202
-    from pyspark.sql.window import Window as W
-
-    w = W.partitionBy("qid").orderBy(F.expr("(id * 7919 + qid) % 1009"), "id")
-    return v.join(F.broadcast(q.select("qid", F.col("ql").alias("label"))), "label").select("qid", "id", F.row_number().over(w).alias("rank"))
-
-
-@query(f"""WITH {_VEC}, {_CAND}, s AS (SELECT c.qid, c.id, c.rank, CASE WHEN c.id % 3 <> 0 THEN round(list_dot_product(qe, e), 6) END AS dense FROM c JOIN v USING (id) JOIN q USING (qid))
+@query(f"""WITH {_USABLE}, s AS (SELECT q.id AS qid, u.id, CAST(row_number() OVER (PARTITION BY q.id ORDER BY u.id) AS INTEGER) AS rank, CASE WHEN u.e IS NOT NULL THEN round(list_dot_product(q.e, u.e), 6) END AS dense FROM u q JOIN u USING (package) WHERE q.id % 50 = 0 AND q.e IS NOT NULL)
 SELECT qid, id, dense, CAST(row_number() OVER (PARTITION BY qid ORDER BY dense IS NULL, dense DESC, rank, id) AS INTEGER) AS new_rank FROM s QUALIFY new_rank <= 100""")
 def dense_rescore_keep_unscored(spark, d):  # noqa: ANN001, ANN201
-    v, q = _vectors(spark, d)
-    return retrieval.dense_rescore(_candidates(v, q), v.where("id % 3 != 0"), q)
+    """The chunks of a chunk's package as candidates; those without a usable vector stay unscored."""
+    from pyspark.sql.window import Window as W
+
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    v = table(spark, d, "chunks").select("id", "package", F.when((F.size("embedding") == 96) & ~bad, F.col("embedding")).alias("embedding"))
+    q = v.where("id % 50 = 0 and embedding is not null").select(F.col("id").alias("qid"), "package", "embedding")
+    c = v.select("id", "package").join(q.select("qid", "package"), "package").select("qid", "id", F.row_number().over(W.partitionBy("qid").orderBy("id")).alias("rank"))
+    return retrieval.dense_rescore(c, v, q)
 
 
 _MAT = "m AS (SELECT id // 4 AS id, list(e ORDER BY id) AS x FROM v GROUP BY 1)"
