@@ -541,7 +541,9 @@ def code_fences(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def rst_sections(spark, d):  # noqa: ANN001, ANN201
-    return chunking.rst_sections(table(spark, d, "documents"))
+    """The tables hold no underlined titles, so headings of level 1 are underlined."""
+    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), r"(?m)^# (.+)$", "$1\n" + "=" * 200))
+    return chunking.rst_sections(docs)
 
 
 @query()
@@ -614,10 +616,12 @@ def reconcile_records(spark, d):  # noqa: ANN001, ANN201
     return incremental.reconcile(old, new, "name", "ev", NOW)
 
 
-@query("SELECT id FROM chunks WHERE embedded AND id NOT IN (SELECT id FROM chunks WHERE embedding IS NOT NULL)")
+@query(f"WITH {_USABLE} SELECT id FROM chunks WHERE embedded AND id NOT IN (SELECT id FROM u WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0)")
 def missing_vectors(spark, d):  # noqa: ANN001, ANN201
+    """Chunks that count as embedded but whose vector is missing or not usable."""
     c = table(spark, d, "chunks")
-    return incremental.missing_vectors(c, c.where("embedding is not null"))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return incremental.missing_vectors(c, c.where((F.size("embedding") == 96) & ~bad & F.exists("embedding", lambda x: x != 0)))
 
 
 # decisions
