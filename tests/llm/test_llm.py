@@ -241,6 +241,63 @@ def test_messages_leave_along_edges_only(spark, monkeypatch):
     assert [tuple(r) for r in conversations.drop_reasons(df).collect()] == [("s", "no_reply")]
 
 
+@pytest.mark.parametrize(
+    ("batches", "edges", "contigs"),
+    [
+        # held by a fragment that is not the last one with these messages; and in one stored later
+        (["abcd", "b", "bc"], [(0, 1, 1, "contained"), (0, 2, 2, "contained"), (2, 1, 1, "contained")], ["abcd"]),
+        (["bc", "abcd"], [(1, 0, 2, "contained")], ["abcd"]),
+        # the fragment before is stored later, or another one is stored in between
+        (["cdef", "abcd"], [(1, 0, 2, "overlap")], ["abcdef"]),
+        (["abcd", "xy", "cdef"], [(0, 2, 2, "overlap")], ["abcdef", "xy"]),
+        # the first and the last overlap as both overlap the second
+        (["abcd", "bcde", "cdef"], [(0, 1, 3, "overlap"), (0, 2, 2, "overlap"), (1, 2, 3, "overlap")], ["abcdef"]),
+        # two ways on
+        (["abc", "cde", "cfg"], [(0, 1, 1, "overlap"), (0, 2, 1, "overlap"), (1, 2, 1, "mixed")], ["abc", "de", "fg"]),
+    ],
+)
+def test_overlap_graph_of_any_fragments(spark, batches, edges, contigs):
+    got, msgs = _edges(spark, [(120 * k, b) for k, b in enumerate(batches)])
+    assert got == edges
+    assert ["".join(u for u, c in msgs if c == k) for k in sorted({c for _, c in msgs})] == contigs
+
+
+def test_random_fragments_in_order(spark):
+    """Contigs and tangles give the order of (ts, seq) with each message once, whatever was exported again."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(80):
+        n, lines, first = rng.randint(1, 14), [], {}
+        for batch in range(rng.randint(1, 5)):
+            a = rng.randrange(n)
+            part = list(range(a, min(n, a + rng.randint(1, 8)))) if rng.random() < 0.7 else sorted(rng.sample(range(n), rng.randint(1, n)))
+            lines += [(batch, m) for m in (rng.sample(part, len(part)) if rng.random() < 0.5 else part)]
+        for batch, m in lines:
+            i = len(rows) + 1
+            row = list(_line(i, f"s{k}", "user" if m % 2 == 0 else "assistant", "x", uuid=f"{k}-{m}", seq=m % 3, at=m // 3))
+            row[7] = None if m > 11 else row[7]
+            row[8] = datetime(2025, 1, 1, 2 + 3 * batch)
+            rows.append(tuple(row))
+            first.setdefault(m, row)
+        want[f"s{k}"] = [r[2] for r in sorted(first.values(), key=lambda r: (r[7] is None, r[7] or 0, r[6], r[0]))]
+    df = spark.createDataFrame(rows, STREAM)
+    got, alone = {}, 0
+    for r in conversations._ranged(conversations.assemble(conversations.message_rows(df))).collect():
+        got.setdefault(r.session_id, []).append(r.uuid)
+        alone += r.at is not None
+    assert got == want
+    assert 0.2 * len(rows) < alone
+
+
+def test_reasons_follow_the_contigs(spark, monkeypatch):
+    """With other places in the contig the messages come in another order, and sessions are dropped for it."""
+    df = spark.createDataFrame(_stored([(0, "abc"), (120, "bcd")]), STREAM)
+    assert conversations.drop_reasons(df).count() == 0
+    plain = conversations.contigs
+    monkeypatch.setattr(conversations, "contigs", lambda *a: plain(*a).withColumn("offset", -10 * F.col("offset")))
+    assert {tuple(r) for r in conversations.drop_reasons(df).collect()} == {("s", "no_prompt"), ("s", "no_reply")}
+
+
 # 6: code and documentation
 
 
