@@ -12,19 +12,28 @@ set aside by the form of their line, and a page is flagged if more than half of
 from __future__ import annotations
 
 import html
+import itertools
 import math
-import random
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most characters of prose that the model is fitted on, and lists that are made up from its words.
-PROSE_CHARS, LISTS = 5_000_000, 6000
+#: What a list may be, as often as it is written: what separates its items, the share of words said again, what marks items, the share of function words (few or many words again), and the items.
+SEPARATORS = ["comma", "pipe", "arrow", "semicolon", "colon", "stop", "bang", None, None]
+AGAIN = [0, 0, 0.3, 0.6, 0.9]
+MARKS = [None, None, "url", "url", "hashtag", "tag", "number", "upper"]
+SPOKEN = [0, 0, 0.05, 0.15], [0, 0.1, 0.25, 0.4]
+ITEMS = [1, 1, 2, 8, 20]
+#: Kinds of lists, and how many lists in all the model is to have seen.
+LISTS = len(set(SEPARATORS)) * len(set(MARKS)) * sum(len(set(SPOKEN[a >= 0.6])) for a in set(AGAIN))
+SEEN = 6000
 #: Tokens of a stretch; a line that is longer has several.
 STRETCH = 40
 #: Logarithm of how many times likelier a stretch must be as a list than as prose.
@@ -149,63 +158,126 @@ class Stretches:
         return np.where(self.into > 1, a, 0), np.where(self.into > 0, b, 0), c
 
 
-def _cost(sequences: list[np.ndarray]) -> np.ndarray:
-    """Minus the logarithm of the probability of a class after two others: trigrams, interpolated with bigrams and single classes."""
+def _count(texts: Iterable[str], vocab: Vocabulary) -> np.ndarray:
+    """How often each class follows two others in all lines of the texts."""
     v = len(CLASSES)
-    n3, n2, n1 = np.zeros((v, v, v)), np.zeros((v, v)), np.zeros(v)
-    for s in sequences:
-        x = np.r_[0, 0, s]
-        np.add.at(n3, (x[:-2], x[1:-1], s), 1)
-        np.add.at(n2, (x[1:-1], s), 1)
-        np.add.at(n1, s, 1)
+    total, open_, size = np.zeros(v**3, np.int64), [], 0
+    for t in texts:
+        a, b, c = Stretches(t, vocab).grams()
+        open_.append((a * v + b) * v + c)
+        size += len(c)
+        if size > 1 << 20:
+            total += np.bincount(np.concatenate(open_), minlength=v**3)
+            open_, size = [], 0
+    if size:
+        total += np.bincount(np.concatenate(open_), minlength=v**3)
+    return total.reshape(v, v, v)
+
+
+def _cost(counts: np.ndarray | list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Minus the logarithm of the probability of a class after two others: trigrams, interpolated with bigrams and single classes.
+
+    By the counts of the trigrams, or by several parts of them (places and counts).
+    """
+    v = len(CLASSES)
+    if isinstance(counts, np.ndarray):
+        n3 = counts
+    else:
+        n3 = np.zeros(v**3)
+        for place, n in counts:
+            n3[place] += n
+        n3 = n3.reshape(v, v, v)
+    n2 = n3.sum(axis=0)
+    n1 = n2.sum(axis=0)
     p1 = (n1 + 0.5) / (n1.sum() + 0.5 * v)
     p2 = (n2 + 2 * p1) / (n2.sum(axis=1, keepdims=True) + 2)
     return -np.log((n3 + 4 * p2[None]) / (n3.sum(axis=2, keepdims=True) + 4))
 
 
-def _lists(prose: list[np.ndarray], n: int, seed: int = 7) -> list[np.ndarray]:
-    """Lists as class sequences: items of one to three words of the prose, separators, links and tags, with any share of words said again.
+_START, _NUMBER, _MARK, _WORD, _SEPARATOR = range(5)
+
+
+@cache
+def _slots(separated: bool, marked: bool) -> np.ndarray:
+    """How often a list is expected to have a slot after two others: a leading number, marks, words and separators.
+
+    A fifth of the lists begin with a number. An item is a mark in three of ten cases (where there are marks), else one
+    to three words; a separator follows, and in half the cases a mark. The first 2 * STRETCH slots count.
+    """
+    out = np.zeros((5, 5, 5))
+    for items in ITEMS:
+        now = {(items, "lead", _START, _START): 1 / len(ITEMS)}
+        for _ in range(2 * STRETCH):
+            then: dict[tuple, float] = {}
+            while now:
+                (left, at, a, b), p = now.popitem()
+                if at == "lead":
+                    steps = [(0.2, _NUMBER, left, "item"), (0.8, None, left, "item")]
+                elif at == "item":
+                    steps = [((0.7 if marked else 1) / 3, None, left, k) for k in (1, 2, 3)] + ([(0.3, _MARK, left, "end")] if marked else []) if left else []
+                elif at == "end":
+                    steps = [(1, _SEPARATOR if separated else None, left, "after")]
+                elif at == "after":
+                    steps = [(0.5, _MARK, left - 1, "item"), (0.5, None, left - 1, "item")] if marked else [(1, None, left - 1, "item")]
+                else:
+                    steps = [(1, _WORD, left, at - 1 if at > 1 else "end")]
+                for q, slot, *to in steps:
+                    if slot is not None:
+                        out[a, b, slot] += p * q
+                    key = (*to, a, b) if slot is None else (*to, b, slot)
+                    into = now if slot is None else then
+                    into[key] = into.get(key, 0) + p * q
+            now = then
+    return out
+
+
+def _lists(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The trigrams that lists are expected to have, for each kind of list: places and counts.
 
-    Function words are rare between items that differ and frequent in phrases that say the same words again and again.
+    Lists are items of one to three words of the prose, separators, links and tags, with any share of words said again.
+    ``counts`` says how often the prose has each class. Function words are rare between items that differ and
+    frequent in phrases that say the same words again and again.
     """
-    words = np.concatenate(prose) if prose else np.empty(0, np.int64)
-    content = words[np.isin(words, [_C[c] for c in ("word", "capital", "upper", "name", "number")])].tolist() or [_C["word"]]
-    function = words[words >= _C["article"]].tolist() or [_C["article"]]
-    rng = random.Random(seed)
+    v = len(CLASSES)
+
+    def shares(classes: list[int]) -> np.ndarray:
+        n = np.zeros(v)
+        n[classes] = counts[classes]
+        n[classes[0]] += not n.any()
+        return n / n.sum()
+
+    content = shares([_C[c] for c in ("word", "capital", "upper", "name", "number")])
+    function = shares(list(range(_C["article"], v)))
     out = []
-    for _ in range(n):
-        separator = rng.choice(["comma", "pipe", "arrow", "semicolon", "colon", "stop", "bang", None, None])
-        again = rng.choice([0, 0, 0.3, 0.6, 0.9])
-        mark = rng.choice([None, None, "url", "url", "hashtag", "tag", "number", "upper"])
-        spoken = rng.choice([0, 0, 0.05, 0.15] if again < 0.6 else [0, 0.1, 0.25, 0.4])
-        seq = [_C["number"]] if rng.random() < 0.2 else []
-        for _ in range(rng.choice([1, 1, 2, 8, 20])):
-            if mark and rng.random() < 0.3:
-                seq.append(_C[mark])
-            else:
-                for _ in range(rng.randint(1, 3)):
-                    seq.append(_C["echo"] if rng.random() < again else rng.choice(function) if rng.random() < spoken else _C["word"] if rng.random() < 0.6 else rng.choice(content))
-            if separator:
-                seq.append(_C[separator])
-            if mark and rng.random() < 0.5:
-                seq.append(_C[mark])
-        out.append(np.array(seq[: 2 * STRETCH]))
+    for (separator, s), (mark, m), (again, g) in itertools.product(Counter(SEPARATORS).items(), Counter(MARKS).items(), Counter(AGAIN).items()):
+        spoken_ = SPOKEN[again >= 0.6]
+        for spoken, f in Counter(spoken_).items():
+            d = np.zeros((5, v))
+            d[_START, _C["start"]] = d[_NUMBER, _C["number"]] = d[_MARK, _C[mark or "start"]] = d[_SEPARATOR, _C[separator or "start"]] = 1
+            d[_WORD] = (1 - again) * (spoken * function + (1 - spoken) * 0.4 * content)
+            d[_WORD, _C["word"]] += (1 - again) * (1 - spoken) * 0.6
+            d[_WORD, _C["echo"]] += again
+            some = np.flatnonzero(d.any(axis=0))
+            x = d[:, some]
+            n = np.einsum("xyz,xa,yb,zc->abc", _slots(separator is not None, mark is not None), x, x, x, optimize=True)
+            share = s * m * g * f / (len(SEPARATORS) * len(MARKS) * len(AGAIN) * len(spoken_))
+            out.append((((some[:, None, None] * v + some[:, None]) * v + some).ravel(), SEEN * share * n.ravel()))
     return out
 
 
 class ProseModel:
     """How much more surprising a class is as prose than as a list, after the two before it."""
 
-    def __init__(self, texts: list[str]) -> None:
-        vocab = Vocabulary()
-        lines = []
-        for t in texts:
-            s = Stretches(t, vocab)
-            lines += np.split(s.cls, np.flatnonzero(s.into == 0)[1:])
+    def __init__(self, prose: list[str] | np.ndarray) -> None:
+        """By texts, or by the counts of their trigrams."""
+        n3 = prose if isinstance(prose, np.ndarray) else _count(prose, Vocabulary())
         # prose in capitals or with capital initials is prose all the same
-        plain = np.isin(np.arange(len(CLASSES)), [_C[c] for c in ("word", "capital", "name")])
-        cased = [np.where(plain[x], _C[c], x) for k, c in enumerate(("upper", "capital")) for x in lines[k::4]]
-        self.surplus = (_cost(lines + cased) - _cost(_lists(lines, LISTS))).astype(np.float32)
+        both, seen = n3.astype(float), np.nonzero(n3)
+        for c in ("upper", "capital"):
+            as_ = np.arange(len(CLASSES))
+            as_[[_C["word"], _C["capital"], _C["name"]]] = _C[c]
+            np.add.at(both, tuple(as_[i] for i in seen), n3[seen] / 4)
+        self.surplus = (_cost(both) - _cost(_lists(n3.sum(axis=(0, 1))))).astype(np.float32)
 
     def abnormal(self, s: Stretches) -> np.ndarray:
         """Which stretches have a perplexity that no prose has: the list model finds them less surprising."""
@@ -263,19 +335,21 @@ PAGE = "doc_id long, words int, prose int, links int, tags int, keywords int, ot
 _TYPES = [("doc_id", pa.int64()), ("words", pa.int32()), ("prose", pa.int32()), ("links", pa.int32()), ("tags", pa.int32()), ("keywords", pa.int32()), ("other", pa.int32()), ("spam", pa.bool_())]
 
 
-def fit_prose(prose: DataFrame, text_col: str = "text", most_chars: int = PROSE_CHARS) -> ProseModel:
-    """The model of prose, fitted on a sample of at most ``most_chars`` characters of a table of prose: its texts by hash.
+def fit_prose(prose: DataFrame, text_col: str = "text") -> ProseModel:
+    """The model of prose, fitted on all of a table of prose: trigrams are counted where the texts are, only the counts come to the driver."""
+    v = len(CLASSES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = _count((t for b in batches for t in b.column(0).to_pylist()), Vocabulary()).ravel()
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["gram", "n"])
 
-    Texts above a tenth of the limit are no part of the sample, so that one text never makes it up.
-    """
     text = F.col(text_col)
-    rows, size = [], 0
-    for r in prose.select(text.alias("t")).where(text.isNotNull() & (F.length(text) <= most_chars // 10)).orderBy(F.xxhash64("t"), "t").toLocalIterator():
-        size += len(r[0])
-        if size > most_chars:
-            break
-        rows.append(r[0])
-    return ProseModel(rows)
+    counts = prose.select(text.alias("t")).where(text.isNotNull()).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    n3 = np.zeros(v**3, np.int64)
+    for gram, n in counts.collect():
+        n3[gram] = n
+    return ProseModel(n3.reshape(v, v, v))
 
 
 def score_pages(docs: DataFrame, prose: DataFrame, share: float = 0.5, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -530,6 +530,38 @@ def test_spam_pages(spark):
     assert keyword_pages.score_pages(spark.createDataFrame([Row(doc_id=1, text="x y")]), prose.limit(0)).count() == 1
 
 
+def test_model_is_fitted_on_all_prose(spark):
+    """Long texts and texts beyond any number of characters count, in any order and partition."""
+    rng = random.Random(3)
+    long = " ".join(rng.choice(PROSE) for _ in range(6000))
+    texts = [" ".join(rng.sample(PROSE[k % 4].split(), 12)) for k in range(40)] + [f"{k}, {k} | " * 70_000 for k in range(10)] + [long, "", None]
+    assert len(long) > 500_000 and sum(len(t or "") for t in texts) > 5_000_000
+    want = keyword_pages.ProseModel([t for t in texts if t]).surplus
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert np.array_equal(keyword_pages.fit_prose(df.repartition(3)).surplus, want)
+    assert not np.array_equal(keyword_pages.ProseModel([t for t in texts if t and t != long]).surplus, want)
+
+
+def test_lists_are_counted_not_drawn():
+    """The expected slots of lists are those that many drawn lists have."""
+    rng = random.Random(2)
+    got, n = np.zeros((5, 5, 5)), 4000
+    for _ in range(n):
+        seq = [1] if rng.random() < 0.2 else []
+        for _ in range(rng.choice(keyword_pages.ITEMS)):
+            seq += [2] if rng.random() < 0.3 else [3] * rng.randint(1, 3)
+            seq += [4] + ([2] if rng.random() < 0.5 else [])
+        x = [0, 0, *seq[: 2 * keyword_pages.STRETCH]]
+        for t in zip(x, x[1:], x[2:], strict=False):
+            got[t] += 1 / n
+    want = keyword_pages._slots(True, True)
+    assert np.allclose(got, want, rtol=0.1, atol=0.03) and ((got > 0) <= (want > 0)).all()
+    kinds = keyword_pages._lists(np.arange(len(keyword_pages.CLASSES)))
+    assert len(kinds) == keyword_pages.LISTS
+    model = keyword_pages.ProseModel(PROSE)
+    assert np.array_equal(model.surplus, keyword_pages.ProseModel(PROSE[::-1]).surplus)
+
+
 def test_perplexity_decides_what_is_spam(monkeypatch):
     """Without either of the two models other pages come out."""
     frames = " ".join(f"Our river {w} is the {w} stone for river and stone. Find stone {w}, stone river, stone {w} here." for w in ["cheap", "best", "free"] * 6)
